@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op1_ngram_join
+from .packing import op9_packing
+from .sharding import op4_sharding
+from .warc import op5_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op4_sharding, op5_warc, op9_packing)}
 
 ORACLE: dict[str, str] = {}
