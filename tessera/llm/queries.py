@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op1_ngram_join
 from .packing import op9_packing
+from .quality_classifier import op7_quality_classifier
+from .quality_rules import op6_quality_rules
+from .secrets import op10_secrets
 from .sharding import op4_sharding
 from .warc import op5_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op4_sharding, op5_warc, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op4_sharding, op5_warc, op6_quality_rules, op7_quality_classifier, op9_packing, op10_secrets)}
 
 ORACLE: dict[str, str] = {}
