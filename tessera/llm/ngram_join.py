@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import hash_words, materialize, mix, table, text_slices
+from .shared import hash_words, materialize, mix, small_batches, table, text_slices
 
 BITS = 512
 #: Rows of a tile's group beside its pivot, and of a block.
@@ -233,6 +233,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     link between different sets is found or follows from links that were.
     """
     spark, s = docs.sparkSession, Fraction(similarity)
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     told = materialize(texts.mapInArrow(_describe(width, s), "doc_id long, n_shingles long, set_id long, keys array<long>"), "sets")
     classes = told.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))

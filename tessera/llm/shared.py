@@ -53,6 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most 1000 rows and 8 MB at once, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,6 +85,14 @@ class Words(NamedTuple):
     end: np.ndarray
     buf: np.ndarray  # bytes, lower-cased if so asked
     offsets: np.ndarray  # documents + 1 byte positions
+    run: np.ndarray  # running sum of the polynomial
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any spans of buf."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        inverse = np.append(_powers(_INVERSE, len(self.buf)), np.uint64(0))
+        return mix((self.run[end] - self.run[start]) * inverse[start])
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +123,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, buf, offsets)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, buf, offsets, np.zeros(1, np.uint64))
     space = _SPACE[buf]
     edge = np.zeros(n + 1, bool)  # a document begins or ends at this byte
     edge[offsets] = True
@@ -123,7 +137,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _powers(_BASE, n), out=run[1:])
     hashes = mix((run[end] - run[start]) * _powers(_INVERSE, n)[start])
-    return Words(hashes, np.searchsorted(start, offsets), start, end, buf, offsets)
+    return Words(hashes, np.searchsorted(start, offsets), start, end, buf, offsets, run)
 
 
 def crc32_rest(ids: list, mod: int) -> np.ndarray:
