@@ -196,20 +196,35 @@ def distances(m: Measured, references: list[Reference]) -> tuple[np.ndarray, np.
 _OUT = "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
+def _verdicts(column: pa.Array, references: list[Reference], rules: Rules) -> list[np.ndarray]:
+    """The columns of _OUT but the id, for a column of texts."""
+    parts = []
+    for _, _, buf, offsets in text_slices(column):
+        m = measure(buf, offsets)
+        size, n = m.classes.sum(1), np.diff(m.words.first)
+        char, word = distances(m, references)
+        far = (size >= rules.least_chars) & (char > rules.char_distance + rules.char_slack / np.sqrt(np.maximum(size, 1)))
+        far |= (n >= rules.least_words) & (word > rules.word_distance + rules.word_slack / np.sqrt(np.maximum(n, 1)))
+        failed = (n < 20) | (100 * m.repeats > 30 * n)
+        parts.append((n, m.chars, m.classes[:, CLASSES.index("symbol")], m.lines, m.repeats, failed, ~failed & ~far, char, word))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def _judge(references: list[Reference], rules: Rules):
     def run(batches):
         for batch in batches:
-            parts = []
-            for _, _, buf, offsets in text_slices(batch.column(1)):
-                m = measure(buf, offsets)
-                size, n = m.classes.sum(1), np.diff(m.words.first)
-                char, word = distances(m, references)
-                far = (size >= rules.least_chars) & (char > rules.char_distance + rules.char_slack / np.sqrt(np.maximum(size, 1)))
-                far |= (n >= rules.least_words) & (word > rules.word_distance + rules.word_slack / np.sqrt(np.maximum(n, 1)))
-                failed = (n < 20) | (100 * m.repeats > 30 * n)
-                parts.append((n, m.chars, m.classes[:, CLASSES.index("symbol")], m.lines, m.repeats, failed, ~failed & ~far, char, word))
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], [x.split()[0] for x in _OUT.split(", ")])
+            if batch.num_rows:
+                columns = _verdicts(batch.column(1), references, rules)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [x.split()[0] for x in _OUT.split(", ")])
+
+    return run
+
+
+def _keep(references: list[Reference], rules: Rules, at: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_verdicts(batch.column(at), references, rules)[6]))
 
     return run
 
@@ -227,5 +242,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(_judge(references, rules), _OUT.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
+def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that the rules keep, with all columns; no row is shuffled."""
+    references = language_references(docs, text_col, lang_col, rules)
+    return docs.mapInArrow(_keep(references, rules, docs.columns.index(text_col)), docs.schema)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")

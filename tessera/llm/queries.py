@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_decontaminate
+from .language_model import op3_lm_scoring
+from .line_dedup import op8_line_dedup
 from .ngram_join import op1_ngram_join
 from .packing import op9_packing
 from .quality_classifier import op7_quality_classifier
@@ -14,6 +17,20 @@ from .secrets import op10_secrets
 from .sharding import op4_sharding
 from .warc import op5_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op4_sharding, op5_warc, op6_quality_rules, op7_quality_classifier, op9_packing, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_decontaminate,
+        op3_lm_scoring,
+        op4_sharding,
+        op5_warc,
+        op6_quality_rules,
+        op7_quality_classifier,
+        op8_line_dedup,
+        op9_packing,
+        op10_secrets,
+    )
+}
 
 ORACLE: dict[str, str] = {}

@@ -117,9 +117,15 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+#: Lower case, and white space for ASCII marks.
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+
+
+def hash_words(buf: np.ndarray, offsets: np.ndarray, lower: bool, fold: np.ndarray | None = None) -> Words:
+    """Words of a slice; fold maps bytes before (lower: A-Z to a-z)."""
     if lower:
-        buf = _LOWER[buf]
+        buf = (_LOWER if fold is None else fold)[buf]
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
