@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from .shared import table, text_slices
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 900_000
 #: Tokens of pieces that are packed together, and sequences that stay open after them.
 RUN_TOKENS, OPEN = 4_000_000, 512
 
@@ -56,13 +57,13 @@ class WordTokenizer:
 
         self.known = Known()
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first): the ids of text k are ids[first[k]:first[k + 1]]."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): the ids of text k are ids[first[k]:first[k + 1]]; size: how many each word has."""
         if len(self.known) > KNOWN_WORDS:
             self.clear()
         split = [t.split() for t in texts]
         count = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(count.sum()))
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         if self.new:
             for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False):
                 self.ids.extend(e.ids)
@@ -74,7 +75,32 @@ class WordTokenizer:
         at = np.repeat(first[word] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
         ends = np.concatenate(([0], ends))
         out = ids[at]  # a copy, so the store may grow again
-        return out, ends[np.concatenate(([0], np.cumsum(count)))]
+        return out, ends[np.concatenate(([0], np.cumsum(count)))], size
+
+
+_WORD = np.zeros(256, bool)
+_WORD[[b for b in range(128) if chr(b).isalnum()]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
+
+def split_marks(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The texts of a slice, with a space between an ASCII letter or digit and a mark after it, and where the spaces went.
+
+    The tokenizer cuts there anyway, so ids stay; a word with and without a mark is then
+    one to remember.  Where its special tokens may stand the texts stay as they are.
+    """
+    at = np.flatnonzero(_WORD[buf[:-1]] & _MARK[buf[1:]]) + 1 if len(buf) > 1 else np.zeros(0, np.int64)
+    data = buf.tobytes()
+    if b"<|" in data:
+        at = at[:0]
+    if len(at):
+        out = np.full(len(buf) + len(at), 0x20, np.uint8)
+        shift = np.ones(len(buf), np.int64)
+        shift[at] = 2
+        out[np.cumsum(shift) - 1] = buf
+        data, offsets = out.tobytes(), offsets + np.searchsorted(at, offsets)
+    return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], at
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -157,8 +183,7 @@ def _pack(path, tokens, documents, cost, weights, rule):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, _, buf, offsets in text_slices(batch.column(1)):
-                data = buf.tobytes()
-                got, first = own.encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                got, first, _ = own.encode(split_marks(buf, offsets)[0])
                 for k in range(len(offsets) - 1):
                     doc = np.append(got[first[k] : first[k + 1]], np.uint32(END))
                     run += [(ids[i + k], p, a, doc[a : a + tokens]) for p, a in enumerate(range(0, len(doc), tokens))]
