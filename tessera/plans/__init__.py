@@ -1 +1,14 @@
 """Registered queries: each name's DataFrame plan and, where SQL can express it, the same in SQL."""
+
+
+def all_queries() -> dict:
+    from tessera.plans import catalog, models  # noqa: F401  models adds its own to the catalog
+
+    return catalog.QUERIES
+
+
+def all_sql() -> dict[str, str]:
+    all_queries()
+    from tessera.plans import catalog
+
+    return catalog.ORACLE
