@@ -50,17 +50,17 @@ def _evaluated(df: DataFrame, spark: SparkSession, model_id: str, validation: tu
 
 @query()
 def lr_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "logistic_regression_c1_balanced", (1, 2, 3, 4))
+    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "logistic_regression_c1_balanced", (1, 2))
 
 
 @query()
 def svm_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "linear_svm_c0_5", (1, 2))
+    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "linear_svm_c0_5", (1,))
 
 
 @query()
 def nb_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "multinomial_nb", (1, 2, 3, 4))
+    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "multinomial_nb", (1, 2))
 
 
 @query()
