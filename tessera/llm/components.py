@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+def _state(edges: DataFrame) -> tuple:
+    """A count and a checksum: equal edges have equal ones."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that links reach.
 
@@ -18,16 +23,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     stars = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before = _state(stars)
     for _ in range(max_rounds):
         both = stars.union(stars.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct()
         stars = materialize(small, "edges")
-        n, total = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if (n, total) == before:
+        after = _state(stars)
+        if after == before:
             break
-        before = (n, total)
+        before = after
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

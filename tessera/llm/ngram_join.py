@@ -7,13 +7,17 @@ join finds each pair whose sets overlap by ``similarity``, and loses none:
   1 / similarity larger that may be a partner of one.  Inside a band the hash
   space is cut into equal parts.  Two partners differ in at most d parts, so
   the parts they share number at least (parts - d); if either sorts its parts by
-  (most shingles first, hash), one of its first d + 1 is shared.  Only those are
-  sent out, as 64-bit keys of a part's whole content: a passage that many
-  documents share fills a part alone only by chance, so it makes no hot key.
+  an order of their contents, one of its first d + 1 is shared.  Only those are
+  sent out, as 64-bit keys of a part's whole content.  The order puts parts of most
+  rare shingles first: a sketch of fixed size, summed over all documents, says which
+  shingles are frequent.  So a passage that many documents share makes no hot key.
 * The smallest set of a key is its pivot, the pivot's members are its tile.
-  A tile's members are first held against the pivot, in salted groups of bounded
-  size.  Members that link to it are connected already; only the others are held
-  against the rest of their tile, in blocks of bounded size.
+  Each member is first held against one pivot, in salted groups of bounded size.
+  Members of the pivot's component are connected already.  Where many others are left,
+  they are held against a few members more, chosen by a hash, and components are
+  worked out anew.  Then come the other pivots of members that are still apart, and what
+  is apart after them is held against its whole tile, in blocks of bounded size.  So a
+  group of near copies costs rows in proportion to its size.
 * Inside a tile, 512-bit parity bitmaps bound the overlap from above; pairs that
   pass get an exact intersection of their sorted arrays.
 
@@ -29,15 +33,21 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .decontaminate import tree_sum
 from .shared import hash_words, materialize, mix, small_batches, table, text_slices
 
 BITS = 512
 #: Rows of a tile's group beside its pivot, and of a block.
 GROUP = 128
+#: Counters of the sketch, and how far over the mean a frequent shingle's counter is.
+SKETCH, FREQUENT = 1 << 18, 1.5
+#: Members that the rest of a large tile is held against in a round, and rounds.
+SUBPIVOTS, ROUNDS = 32, 2
 
 _STEP = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3], np.uint64)
 
@@ -71,8 +81,13 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([(int(m.sum(dtype=np.uint64)) * 31 + len(s)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(1))
 
 
-def part_keys(s: np.ndarray, similarity: Fraction) -> np.ndarray:
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def part_keys(s: np.ndarray, similarity: Fraction, frequent: np.ndarray) -> np.ndarray:
     """The keys that a set sends out: d + 1 for each band that it belongs to."""
+    rare = ~frequent[_counter(s)]
     n, top = len(s), 1 / similarity
     out = []
     band = n.bit_length() - 1
@@ -89,13 +104,13 @@ def part_keys(s: np.ndarray, similarity: Fraction) -> np.ndarray:
         differ = int((n + (int(n * top) if i == band else largest)) * share)
         at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        count = np.diff(np.append(start, n)).astype(np.uint64)
+        count = np.diff(np.append(start, n))
         key = mix(np.add.reduceat(hashed, start) ^ (at[start] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(parts)))
         if differ + 1 > len(start):  # parts that hold nothing come last in the order, by number
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[start])[: differ + 1 - len(start)]
             key = np.concatenate((key, mix(empty * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(parts + (lo << 32)))))
         elif differ + 1 < len(start):
-            key = key[np.lexsort((key, np.iinfo(np.uint64).max - count))[: differ + 1]]
+            key = key[np.lexsort((key, -count, -np.add.reduceat(rare, start, dtype=np.int64)))[: differ + 1]]
         out.append(key)
     return (np.concatenate(out) >> np.uint64(1)).astype(np.int64)
 
@@ -143,7 +158,27 @@ def links_across(left: list[np.ndarray], right: list[np.ndarray], similarity: Fr
     return out
 
 
-def _describe(width: int, similarity: Fraction):
+def _counts(width: int):
+    def run(batches):
+        total = np.zeros(SKETCH)
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), width):
+                np.add.at(total, _counter(s), 1)
+        task = TaskContext.get().partitionId()
+        for k, part in enumerate(np.array_split(total, 16)):
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "sums": [part.astype("<f8").tobytes()]})
+
+    return run
+
+
+def frequent_counters(texts: DataFrame, width: int) -> np.ndarray:
+    """Which of the sketch's counters hold a shingle of many documents; it only sets the order of parts, links do not depend on it."""
+    parts = tree_sum(texts.select("text").mapInArrow(_counts(width), "task int, block int, sums binary"))
+    total = np.concatenate(parts) if parts else np.zeros(SKETCH)
+    return total > FREQUENT * total.mean() + 4 * np.sqrt(total.mean())
+
+
+def _describe(width: int, similarity: Fraction, frequent: np.ndarray):
     def run(batches):
         seen: set[int] = set()  # sets whose keys this task has sent: 8 bytes a document
         for batch in batches:
@@ -152,7 +187,7 @@ def _describe(width: int, similarity: Fraction):
                 name = set_id(s) if len(s) else None
                 sizes.append(len(s))
                 sets.append(name)
-                keys.append(part_keys(s, similarity) if len(s) and name not in seen else None)
+                keys.append(part_keys(s, similarity, frequent) if len(s) and name not in seen else None)
                 seen.add(name)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "keys"])
 
@@ -162,8 +197,9 @@ def _describe(width: int, similarity: Fraction):
 def _arrays(width: int):
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "shingles"])
+            # rows of one id may hold other texts than the one that was asked for
+            sets = [(k, s) for k, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True) if len(s) and set_id(s) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["set_id", "shingles"])
 
     return run
 
@@ -196,7 +232,7 @@ def _against_pivot(similarity: Fraction):
 
 def _inside_tile(similarity: Fraction):
     def run(batches):
-        for (pivot, _, _), rows in _groups(batches, ["pivot", "row_block", "col_block"]):
+        for _, rows in _groups(batches, ["pivot", "row_block", "col_block"]):
             left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
             root: dict[int, int] = {}
 
@@ -205,12 +241,8 @@ def _inside_tile(similarity: Fraction):
                     root[x] = x = root[root[x]]
                 return x
 
-            for r in rows:
-                if r["linked"]:
-                    root[find(r["member"])] = find(pivot)
-
             def joined(i: int, j: int, join: bool = False) -> bool:
-                a, b = find(left[i]["member"]), find(right[j]["member"])
+                a, b = find(left[i]["component"]), find(right[j]["component"])
                 if join:
                     root[a] = b
                 return a == b
@@ -222,6 +254,34 @@ def _inside_tile(similarity: Fraction):
     return run
 
 
+def _linked_to_pivot(pairs: DataFrame, arrays: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (a, b) of those pairs (pivot, member) that are similar, in groups of a pivot and about GROUP members."""
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
+    wide = pairs.join(sizes, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).alias("salt"))
+    rows = wide.union(wide.select("pivot", F.col("pivot").alias("member"), "salt").distinct())
+    rows = rows.join(arrays, rows.member == arrays.set_id).select("pivot", "salt", "member", "shingles")
+    held = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt").mapInArrow(_against_pivot(similarity), "pivot long, member long, linked boolean")
+    return held.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sizes, stars): each tile's members with their component and whether it is not the pivot's; n and loose of tiles with such members; the links, shortened."""
+    found = connected_components(links)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    members = pairs.select("pivot", "member").join(of("member"), "member", "left").join(of("pivot"), "pivot", "left")
+    component = F.coalesce("member_in", "member")
+    members = materialize(members.select("pivot", "member", component.alias("component"), (component != F.coalesce("pivot_in", "pivot")).alias("apart")), "members")
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("loose")).where("loose > 0 AND n > 1")
+    return members, materialize(sizes, "sizes"), found.where("node <> component").toDF("a", "b")
+
+
+def _blocks_of(left: DataFrame, right: DataFrame, arrays: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (a, b) across left and right rows (pivot, row_block, col_block, member, component) of equal blocks."""
+    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    rows = rows.join(arrays, rows.member == arrays.set_id).select("pivot", "row_block", "col_block", "side", "member", "component", "shingles")
+    return rows.repartition("pivot", "row_block", "col_block").sortWithinPartitions("pivot", "row_block", "col_block", "side").mapInArrow(_inside_tile(similarity), "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: str = "0.8") -> DataFrame:
     """(doc_id, n_shingles, component_id): each row's set size and the smallest id that links reach.
 
@@ -235,7 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, s = docs.sparkSession, Fraction(similarity)
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = materialize(texts.mapInArrow(_describe(width, s), "doc_id long, n_shingles long, set_id long, keys array<long>"), "sets")
+    told = materialize(texts.mapInArrow(_describe(width, s, frequent_counters(texts, width)), "doc_id long, n_shingles long, set_id long, keys array<long>"), "sets")
     classes = told.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
 
     sent = told.where("keys IS NOT NULL").select("set_id", F.explode("keys").alias("key"))
@@ -247,29 +307,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = tiles.select(F.col("member").alias("set_id")).union(tiles.select(F.col("pivot").alias("set_id"))).distinct()
     chosen = classes.join(wanted, "set_id").select("set_id", F.col("first_id").alias("doc_id"))
-    # repeated ids may stand for other sets, so the set's name is checked below
-    arrays = texts.join(chosen, "doc_id").select("set_id", "text").mapInArrow(_arrays(width), "set_id long, shingles binary")
+    arrays = texts.join(chosen, texts.doc_id.eqNullSafe(chosen.doc_id)).select("set_id", "text").mapInArrow(_arrays(width), "set_id long, shingles binary")
     arrays = materialize(arrays.dropDuplicates(["set_id"]), "shingles")
 
-    grow = F.ceil(F.col("n") / GROUP)
-    wide = tiles.join(tiles.groupBy("pivot").agg(F.count("*").alias("n")), "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), grow).alias("salt"))
-    rows = wide.union(wide.select("pivot", F.col("pivot").alias("member"), "salt").distinct())
-    rows = rows.join(arrays, rows.member == arrays.set_id).select("pivot", "salt", "member", "shingles")
-    held = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt").mapInArrow(_against_pivot(s), "pivot long, member long, linked boolean")
-    held = materialize(held, "held")
-
-    size = held.groupBy("pivot").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("loose")).where("loose > 0 AND n > 1")
-    open_ = held.join(size, "pivot").select("pivot", "member", "linked", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).alias("c"), F.pmod(F.xxhash64("member"), F.ceil(F.col("loose") / GROUP)).alias("r"), F.ceil(F.col("n") / GROUP).alias("cs"), F.ceil(F.col("loose") / GROUP).alias("rs"))
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = open_.where("NOT linked").select("pivot", F.col("r").alias("row_block"), up_to("cs").alias("col_block"), F.lit(0).alias("side"), "member", "linked").union(open_.select("pivot", up_to("rs").alias("row_block"), F.col("c").alias("col_block"), F.lit(1).alias("side"), "member", "linked"))
-    rows = rows.join(arrays, rows.member == arrays.set_id).select("pivot", "row_block", "col_block", "side", "member", "linked", "shingles")
-    more = rows.repartition("pivot", "row_block", "col_block").sortWithinPartitions("pivot", "row_block", "col_block", "side").mapInArrow(_inside_tile(s), "a long, b long")
-
-    links = held.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")).union(more)
-    names = classes.where("first_id IS NOT NULL")
-    links = links.join(names.select(F.col("set_id").alias("a"), F.col("first_id").alias("x")), "a").join(names.select(F.col("set_id").alias("b"), F.col("first_id").alias("y")), "b")
-    found = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = classes.join(found, classes.first_id == found.node, "left").select("set_id", F.coalesce("component", "first_id").alias("component"))
+    # each member against one pivot, then all other pairs that are still apart
+    once = materialize(tiles.groupBy("member").agg(F.min("pivot").alias("pivot")), "once")
+    links = _linked_to_pivot(once, arrays, s)
+    members, sizes, links = _apart(once, links)
+    block = lambda n: F.pmod(F.xxhash64("member"), F.ceil(F.col(n) / GROUP))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / GROUP) - 1))
+    for r in range(ROUNDS):
+        large = sizes.where(F.col("loose") > GROUP // 2)
+        if large.isEmpty():
+            break
+        wide = members.join(large, "pivot")
+        # about half of the few from the loose members
+        draw = F.pmod(F.xxhash64("member", F.lit(r)), F.ceil(2 * F.when(F.col("apart"), F.col("loose")).otherwise(F.col("n")) / SUBPIVOTS)) == 0
+        left = wide.where("apart").select("pivot", block("loose").alias("row_block"), F.lit(0).cast("long").alias("col_block"), "member", "component")
+        right = wide.where(draw).select("pivot", spread("loose").alias("row_block"), F.lit(0).cast("long").alias("col_block"), "member", "component")
+        members, sizes, links = _apart(once, links.union(_blocks_of(left, right, arrays, s)))
+    members, _, links = _apart(tiles, links)
+    rest = members.where("apart").select("pivot", "member").join(once, ["pivot", "member"], "left_anti")
+    members, sizes, links = _apart(tiles, links.union(_linked_to_pivot(materialize(rest, "rest"), arrays, s)))
+    open_ = members.join(sizes, "pivot")
+    left = open_.where("apart").select("pivot", block("loose").alias("row_block"), spread("n").alias("col_block"), "member", "component")
+    right = open_.select("pivot", spread("loose").alias("row_block"), block("n").alias("col_block"), "member", "component")
+    links = links.union(_blocks_of(left, right, arrays, s))
+    found = connected_components(links)
+    named = classes.join(found, classes.set_id == found.node, "left").select("set_id", "first_id", F.coalesce("component", "set_id").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
+    named = named.join(lowest, "root").select("set_id", "component")
     return told.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
