@@ -1,12 +1,12 @@
 """Operator 2: benchmark decontamination by latent semantic retrieval.
 
 Passages are runs of words; their TF-IDF rows, over terms hashed to a fixed width, are
-never held together.  One pass sums the document frequencies; a second sums
-C @ omega, where C is the Gram matrix of all rows and omega a random matrix, from which
-the Nystroem form of the randomised SVD gives the leading right singular vectors and
-values.  A third pass projects every window of every text, finds the benchmark items
-whose cosine is high enough for a window that holds them, and settles each candidate
-on the words around it: the longest common subsequence must cover most of the item, or
+never held together.  One pass sums the document frequencies of all passages; a second
+sums C @ omega, where C is the Gram matrix of a fixed share of the rows and omega a
+random matrix, from which the Nystroem form of the randomised SVD gives the leading
+right singular vectors and values.  A third pass projects every window of every text, finds the benchmark items
+whose cosine is high enough for a window that holds them, passes over candidates that
+share no rare word with the item, and settles each other one on the words around it: the longest common subsequence must cover most of the item, or
 a good part of it together with the item's answer (its last words).
 """
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, hash_words, materialize, small_batches, table, text_slices
+from .shared import PLAIN, hash_words, materialize, mix, small_batches, table, text_slices
 
 FAN_IN = 32
 _BLOCKS = 16
@@ -30,9 +30,13 @@ _BLOCKS = 16
 class Settings(NamedTuple):
     terms: int = 8192  # width that terms are hashed to
     rank: int = 48
-    oversampling: int = 16
+    drop: int = 6  # leading directions left out: they tell languages apart, not texts
+    oversampling: int = 10
+    fit_share: int = 4  # one passage of so many, by a hash of its words, enters the second pass
     block: int = 16  # words; a window is two neighbouring blocks
-    cosine: float = 0.55  # of what a window that holds the item is expected to have
+    cosine: float = 0.42  # of what a window that holds the item is expected to have
+    rare: float = 0.005  # share of passages up to which a word of the benchmark is rare
+    rare_words: int = 2  # that a window and an item must share, where the item has them
     sure: float = 0.75  # share of the item's words in the common subsequence that settles it alone
     paraphrase: float = 0.55  # share that settles it together with the answer
     answer_words: int = 6
@@ -80,9 +84,19 @@ def _passages(b: Blocks) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
-def _counts(s: Settings):
+def _places(sorted_words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Position of each hash in sorted_words, -1 for none."""
+    if not len(sorted_words):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(sorted_words, hashes), len(sorted_words) - 1)
+    return np.where(sorted_words[at] == hashes, at, -1)
+
+
+def _counts(s: Settings, words: np.ndarray):
+    """Passages that hold each hashed term, all passages, and occurrences of each of words."""
+
     def run(batches):
-        total = np.zeros(s.terms + 1, np.int64)
+        total = np.zeros(s.terms + 1 + len(words), np.int64)
         for batch in batches:
             for _, _, buf, offsets in text_slices(batch.column(0)):
                 b = _blocks(buf, offsets, s)
@@ -90,7 +104,9 @@ def _counts(s: Settings):
                     passage = np.repeat(_passages(b), np.diff(b.first))
                     seen = np.unique(passage * s.terms + b.terms)
                     total[: s.terms] += np.bincount(seen % s.terms, minlength=s.terms)
-                    total[-1] += passage[-1] + 1
+                    total[s.terms] += passage[-1] + 1
+                    at = _places(words, b.words.hashes)
+                    total[s.terms + 1 :] += np.bincount(at[at >= 0], minlength=len(words))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
@@ -108,12 +124,18 @@ def _sketch(s: Settings, idf: np.ndarray, omega: np.ndarray):
                     continue
                 passage = _passages(b)
                 first = b.first[:-1][np.concatenate(([True], passage[1:] != passage[:-1]))]
-                y = np.add.reduceat(weighted[b.terms], first, axis=0)
-                norm = np.add.reduceat(idf[b.terms] ** 2, first)  # rows of unit length, but for repeated words
+                size = np.diff(np.append(first, b.first[-1]))
+                chosen = mix(np.add.reduceat(b.words.hashes, first)) % np.uint64(s.fit_share) == 0
+                if not chosen.any():
+                    continue
+                terms, size = b.terms[np.repeat(chosen, size)], size[chosen]
+                first = np.cumsum(size) - size
+                y = np.add.reduceat(weighted[terms], first, axis=0)
+                norm = np.add.reduceat(idf[terms] ** 2, first)  # rows of unit length, but for repeated words
                 y /= np.maximum(norm, 1e-9)[:, None]
-                of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, b.first[-1])))
-                order = np.argsort(b.terms, kind="stable")
-                terms = b.terms[order]
+                of_word = np.repeat(np.arange(len(first)), size)
+                order = np.argsort(terms, kind="stable")
+                terms = terms[order]
                 start = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
                 total[terms[start]] += np.add.reduceat(y[of_word[order]], start, axis=0) * idf[terms[start]][:, None]
         task = TaskContext.get().partitionId()
@@ -141,27 +163,33 @@ def tree_sum(parts: DataFrame) -> list[np.ndarray]:
 
 class Space(NamedTuple):
     weights: np.ndarray  # terms x rank, float32: idf, singular vectors, scaled to unit singular values
+    rare: np.ndarray  # those of the benchmark's words that are rare, sorted
 
 
-def fit_space(docs: DataFrame, text_col: str = "text", s: Settings = Settings(), seed: int = 7) -> Space | None:
-    """The latent space of the texts' passages; None if there is no word."""
+def fit_space(docs: DataFrame, text_col: str = "text", s: Settings = Settings(), seed: int = 7, words: np.ndarray = np.zeros(0, np.uint64)) -> Space | None:
+    """The latent space of the texts' passages, and which of words (sorted) are rare in them; None if there is no word."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    df = np.zeros(s.terms + 1)
-    for r in texts.mapInArrow(_counts(s), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms + 1 rows at most
-        df[r["term"]] = r["n"]
-    if not df[-1]:
+    counts = np.zeros(s.terms + 1 + len(words))
+    for r in texts.mapInArrow(_counts(s, words), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms and the benchmark's words at most
+        counts[r["term"]] = r["n"]
+    df, passages, held = counts[: s.terms], counts[s.terms], counts[s.terms + 1 :]
+    if not passages:
         return None
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((s.terms, s.rank + s.oversampling))
+    idf = np.log((1 + passages) / (1 + df)) + 1
+    omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((s.terms, s.rank + s.drop + s.oversampling))
     z = np.concatenate(tree_sum(texts.mapInArrow(_sketch(s, idf, omega), "task int, block int, sums binary"))).reshape(s.terms, -1)
+    if not z.any():  # a corpus so small that no passage was chosen
+        return fit_space(docs, text_col, s._replace(fit_share=1), seed, words) if s.fit_share > 1 else None
     core = omega.T @ z
     core = (core + core.T) / 2
-    shift = 1e-9 * np.trace(core)
-    low = np.linalg.cholesky(core + shift * np.eye(len(core)))
-    u, sigma, _ = np.linalg.svd(np.linalg.solve(low, z.T).T, full_matrices=False)
-    rank = int(min(s.rank, np.count_nonzero(sigma > sigma[0] * 1e-6)))
-    return Space((idf[:, None] * u[:, :rank] / sigma[:rank]).astype(np.float32))
+    values, vectors = np.linalg.eigh(core)
+    keep = values > values[-1] * 1e-9
+    u, sigma, _ = np.linalg.svd(z @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    rank = int(np.count_nonzero(sigma > sigma[0] * 1e-6))
+    # a small corpus may have no more directions than are left out
+    use = slice(s.drop, s.drop + s.rank) if rank >= s.drop + s.rank else slice(0, rank)
+    return Space((idf[:, None] * u[:, use] / sigma[use]).astype(np.float32), words[held <= np.maximum(s.rare * passages, 20)])
 
 
 def common_subsequence(a: list[int], places: dict[int, int], length: int) -> int:
@@ -203,6 +231,13 @@ def _search(items: list[Item], space: Space, s: Settings):
             for k, word in enumerate(x.words.tolist()):
                 at[word] = at.get(word, 0) | 1 << k
             bits.append(at)
+        # rare words to items, and how many of them a window must share
+        places = [np.unique(_places(space.rare, x.words)) for x in items]
+        places = [x[x >= 0] for x in places]
+        need = np.array([min(s.rare_words, len(x)) for x in places])
+        word, item_of = np.concatenate(places), np.repeat(np.arange(len(items)), [len(x) for x in places])
+        order = np.argsort(word, kind="stable")
+        item_of, item_start = item_of[order], np.searchsorted(word[order], np.arange(len(space.rare) + 1))
         for batch in batches:
             ids, out = batch.column(0), {}
             for i, _, buf, offsets in text_slices(batch.column(1)):
@@ -215,8 +250,16 @@ def _search(items: list[Item], space: Space, s: Settings):
                 start = np.concatenate((pair, alone))
                 seen = unit(np.concatenate((sums[pair] + sums[pair + 1], sums[alone])))
                 hashes = b.words.hashes
+                found = _places(space.rare, hashes)
+                at_word = np.flatnonzero(found >= 0)
+                n_items = np.diff(item_start)[found[at_word]]
+                hit = np.repeat(item_start[found[at_word]] - np.cumsum(n_items) + n_items, n_items) + np.arange(int(n_items.sum()))
+                key = np.repeat((np.searchsorted(b.first, at_word, "right") - 1) * len(items), n_items) + item_of[hit]
+                key, times = np.unique(np.concatenate((key, key - len(items))), return_counts=True)  # a block is in the window it begins and the one before
+                key = key[times >= need[key % len(items)]]
                 for c in range(0, len(seen), 4096):
                     near = np.argwhere(seen[c : c + 4096] @ latent.T >= bar)
+                    near = near[(need[near[:, 1]] == 0) | (_places(key, start[c + near[:, 0]] * len(items) + near[:, 1]) >= 0)]
                     for w, item in near.tolist():
                         block, x = start[c + w], items[item]
                         doc = int(b.doc[block])
@@ -256,7 +299,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, lcs_words long, item_words long, answer_share double"
     items = benchmark_items(benchmark, s)
-    space = fit_space(docs, text_col, s) if items else None
+    space = fit_space(docs, text_col, s, words=np.unique(np.concatenate([x.words for x in items]))) if items else None
     if space is None:
         return docs.sparkSession.createDataFrame([], schema)
     return rows.mapInArrow(_search(items, space, s), schema)
