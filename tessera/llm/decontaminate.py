@@ -2,8 +2,7 @@
 
 Passages are runs of words; their TF-IDF rows, over terms hashed to a fixed width, are
 never held together.  One pass sums the document frequencies of all passages; a second
-sums C @ omega, where C is the Gram matrix of a fixed share of the rows and omega a
-random matrix, from which the Nystroem form of the randomised SVD gives the leading
+sums C @ omega, where C is the Gram matrix of all rows and omega a random matrix, from which the Nystroem form of the randomised SVD gives the leading
 right singular vectors and values.  A third pass projects every window of every text, finds the benchmark items
 whose cosine is high enough for a window that holds them, passes over candidates that
 share no rare word with the item, and settles each other one on the words around it: the longest common subsequence must cover most of the item, or
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, hash_words, materialize, mix, small_batches, table, text_slices
+from .shared import PLAIN, hash_words, materialize, small_batches, table, text_slices
 
 FAN_IN = 32
 _BLOCKS = 16
@@ -32,7 +31,6 @@ class Settings(NamedTuple):
     rank: int = 48
     drop: int = 6  # leading directions left out: they tell languages apart, not texts
     oversampling: int = 10
-    fit_share: int = 4  # one passage of so many, by a hash of its words, enters the second pass
     block: int = 16  # words; a window is two neighbouring blocks
     cosine: float = 0.42  # of what a window that holds the item is expected to have
     rare: float = 0.005  # share of passages up to which a word of the benchmark is rare
@@ -125,15 +123,19 @@ def _sketch(s: Settings, idf: np.ndarray, omega: np.ndarray):
                 passage = _passages(b)
                 first = b.first[:-1][np.concatenate(([True], passage[1:] != passage[:-1]))]
                 size = np.diff(np.append(first, b.first[-1]))
-                chosen = mix(np.add.reduceat(b.words.hashes, first)) % np.uint64(s.fit_share) == 0
-                if not chosen.any():
-                    continue
-                terms, size = b.terms[np.repeat(chosen, size)], size[chosen]
-                first = np.cumsum(size) - size
-                y = np.add.reduceat(weighted[terms], first, axis=0)
+                terms = b.terms
                 norm = np.add.reduceat(idf[terms] ** 2, first)  # rows of unit length, but for repeated words
-                y /= np.maximum(norm, 1e-9)[:, None]
-                of_word = np.repeat(np.arange(len(first)), size)
+                # the longest passages first, so that those with a k-th word are the first ones
+                by = np.argsort(-size, kind="stable")
+                first, size, norm = first[by], size[by], norm[by]
+                y = np.zeros((len(first), omega.shape[1]), np.float32)
+                for k in range(int(size[0])):
+                    n = int(np.searchsorted(-size, -k, "left"))
+                    y[:n] += weighted[terms[first[:n] + k]]
+                y /= np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+                row = np.empty(len(by), np.int64)
+                row[by] = np.arange(len(by))
+                of_word = row[np.repeat(np.arange(len(by)), size[row])]
                 order = np.argsort(terms, kind="stable")
                 terms = terms[order]
                 start = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
@@ -179,8 +181,6 @@ def fit_space(docs: DataFrame, text_col: str = "text", s: Settings = Settings(),
     idf = np.log((1 + passages) / (1 + df)) + 1
     omega = np.random.Generator(np.random.PCG64(seed)).standard_normal((s.terms, s.rank + s.drop + s.oversampling))
     z = np.concatenate(tree_sum(texts.mapInArrow(_sketch(s, idf, omega), "task int, block int, sums binary"))).reshape(s.terms, -1)
-    if not z.any():  # a corpus so small that no passage was chosen
-        return fit_space(docs, text_col, s._replace(fit_share=1), seed, words) if s.fit_share > 1 else None
     core = omega.T @ z
     core = (core + core.T) / 2
     values, vectors = np.linalg.eigh(core)

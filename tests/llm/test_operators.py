@@ -112,6 +112,27 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_contamination(docs, benchmark.limit(0)).count() == 0
 
 
+def test_space_is_fitted_on_every_passage(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, rng.randint(1, 150)) for _ in range(40)]
+    s = decontaminate.Settings(terms=256, rank=8, drop=2, oversampling=6)
+    rows = []
+    for t in texts:
+        data = t.encode()
+        h = (decontaminate.plain_words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes >> np.uint64(17)).astype(np.int64) % s.terms
+        rows += [np.bincount(h[k : k + 2 * s.block], minlength=s.terms) for k in range(0, len(h), 2 * s.block)]
+    a = np.array(rows, float)
+    idf = np.log((1 + len(a)) / (1 + (a > 0).sum(0))) + 1
+    a = a * idf / np.sqrt((a * idf**2).sum(1))[:, None]
+    omega = np.random.Generator(np.random.PCG64(7)).standard_normal((s.terms, s.rank + s.drop + s.oversampling))
+    z = a.T @ (a @ omega)
+    values, vectors = np.linalg.eigh(omega.T @ z)
+    u, sigma, _ = np.linalg.svd(z @ (vectors / np.sqrt(values)), full_matrices=False)
+    want = idf[:, None] * u[:, s.drop : s.drop + s.rank] / sigma[s.drop : s.drop + s.rank]
+    got = decontaminate.fit_space(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), s=s).weights
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
