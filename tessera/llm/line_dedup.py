@@ -5,7 +5,8 @@ tokens, with variable-looking tokens (digits, addresses, assignments) as wildcar
 Inside a leaf a token is constant if enough documents hold it at its position, and
 variable otherwise; the constants and wildcards are the line's template.  A
 template that enough documents hold recurs, and its lines are dropped but for the
-first.  Everything is counted by partial sums: leaves over all lines, positions
+first.  A long line needs no such support: where two different texts hold it token by
+token, it is dropped but for the first.  Everything is counted by partial sums: leaves over all lines, positions
 and templates over the distinct lines of leaves that several documents share.
 """
 
@@ -26,8 +27,8 @@ _ODD[[*range(0x30, 0x3A), *b"@/=\\_"]] = True
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def masked_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with variable ones masked, first token of each line and one more, document, number in the document) of every line."""
+def masked_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes, those with variable ones masked, first token of each line and one more, document, number in the document) of every line."""
     w = hash_words(buf, offsets, lower=False)
     odd = np.concatenate(([0], np.cumsum(_ODD[buf], dtype=np.int64)))
     tokens = np.where(odd[w.end] > odd[w.start], VARIABLE, w.hashes)
@@ -40,32 +41,38 @@ def masked_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     doc, line_start = doc[order], np.concatenate((doc_start, breaks))[order]
     first = np.append(np.searchsorted(w.start, line_start), len(w.start))
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return tokens, first, doc, number
+    return w.hashes, tokens, first, doc, number
 
 
-def _lines(depth: int, least: int):
+def _lines(depth: int, least: int, long: int):
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, wholes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for i, _, buf, offsets in text_slices(batch.column(1)):
-                tokens, first, doc, number = masked_lines(buf, offsets)
+                plain, tokens, first, doc, number = masked_lines(buf, offsets)
                 count = np.diff(first)
-                full = np.flatnonzero(count >= max(1, least))
+                full = np.flatnonzero(count >= max(1, min(least, long)))
                 if not len(full):
                     continue
                 a, n = first[full], count[full]
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], count)
                 run_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens + place.astype(np.uint64) * _PLACE))))
                 line = mix(run_[a + n] - run_[a] + n.astype(np.uint64))
+                exact_ = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(plain + place.astype(np.uint64) * _PLACE))))
+                exact = mix(exact_[a + n] - exact_[a] + n.astype(np.uint64))
                 leaf = mix(run_[a + np.minimum(n, depth)] - run_[a] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 constant = np.concatenate(([0], np.cumsum(tokens != VARIABLE)))
-                some = constant[a + n] > constant[a]  # a line of wildcards alone says nothing
-                full, leaf, line = full[some], leaf[some], line[some]
+                named = (n >= least) & (constant[a + n] > constant[a])  # a line of wildcards alone says nothing
+                some = named | (n >= long)
+                full, leaf, line, exact, named, n = full[some], leaf[some], line[some], exact[some], named[some], n[some]
                 # the first of equal lines in a document speaks for it
                 order = np.lexsort((number[full], line, doc[full]))
                 same = np.zeros(len(full), bool)
                 same[order[1:]] = (line[order][1:] == line[order][:-1]) & (doc[full][order][1:] == doc[full][order][:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc[full]]), pa.array(number[full].astype(np.int32)), pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), pa.array(~same)], ["key", "line_no", "leaf", "line", "speaks"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[i + doc[full]]), pa.array(wholes[i + doc[full]]), pa.array(number[full].astype(np.int32)), pa.array(leaf.view(np.int64), mask=~named), pa.array(line.view(np.int64)), pa.array(exact.view(np.int64), mask=n < long), pa.array(named & ~same)],
+                    ["key", "whole", "line_no", "leaf", "line", "exact", "speaks"],
+                )
 
     return run
 
@@ -75,7 +82,7 @@ def _tokens(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for i, j, buf, offsets in text_slices(batch.column(0)):
-            tokens, first, doc, number = masked_lines(buf, offsets)
+            _, tokens, first, doc, number = masked_lines(buf, offsets)
             start = np.searchsorted(doc, np.arange(j - i))
             out: list[list] = [[], [], [], [], []]
             for k in range(i, j):
@@ -88,10 +95,13 @@ def _tokens(batches) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["leaf", "line", "docs", "pos", "token"])
 
 
-def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order: str = "doc_id", depth: int = 4, least_tokens: int = 3, min_docs: int = 5, constant_share: float = 0.6) -> DataFrame:
-    """(key, line_no, template, first) of lines whose template min_docs documents hold; first: the one to keep."""
+def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order: str = "doc_id", depth: int = 4, least_tokens: int = 3, min_docs: int = 5, constant_share: float = 0.6, long_tokens: int = 50) -> DataFrame:
+    """(key, line_no, template, first) of lines whose template min_docs documents hold, and of lines of long_tokens tokens that two different texts hold; first: the one to keep.
+
+    A line of both kinds has two rows.  The first line of a template is the first of its equals, too.
+    """
     small_batches(docs.sparkSession)
-    lines = docs.select(key, text).mapInArrow(_lines(depth, least_tokens), "key long, line_no int, leaf long, line long, speaks boolean")
+    lines = docs.select(key, text, F.xxhash64(text)).mapInArrow(_lines(depth, least_tokens, long_tokens), "key long, whole long, line_no int, leaf long, line long, exact long, speaks boolean")
     lines = materialize(lines, "lines")
     leaves = lines.where("speaks").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     shared = lines.join(leaves, "leaf", "left_semi")
@@ -109,6 +119,10 @@ def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order
     common = named.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
     named = materialize(named.join(common, ["leaf", "template"]).select("leaf", "line", "template"), "templates")
     found = shared.join(named, ["leaf", "line"]).select("key", "line_no", "leaf", "template")
+    # copies of one text are no recurring lines: the near-duplicate join finds them
+    long = lines.where("exact IS NOT NULL")
+    again = long.groupBy("exact").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("exact")
+    found = found.unionByName(long.join(again, "exact").select("key", "line_no", F.lit(0).cast("long").alias("leaf"), F.col("exact").alias("template")))
     by_id = docs.select(F.col(key).alias("key"), F.col(order).alias("doc_id")).distinct()
     firsts = found.join(by_id, "key").groupBy("leaf", "template").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "line_no")).alias("f"))
     firsts = firsts.select("leaf", "template", F.col("f.key").alias("first_key"), F.col("f.line_no").alias("first_line"))
@@ -120,8 +134,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns of docs stay, in their order; a column n_dropped of its own is
     replaced.  Lines are cut at \\n, and only whole ones go; blank lines and those of fewer
-    than least_tokens tokens stay.  The first line of a template, by document id
-    (a null id last), then by line, stays.  Rows of equal id and text count as one
+    than least_tokens tokens stay.  The first line of a template, or of equal long lines,
+    by document id (a null id last), then by line, stays.  Copies of one text, whatever
+    their ids, count as one text for long lines, so they alone lose none.  Rows of equal id and text count as one
     document and lose the same lines.  A null text stays null; an empty one stays
     empty; a text may become empty; no rows give no rows.
     """

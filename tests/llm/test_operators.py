@@ -252,6 +252,16 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_long_lines_go_from_the_second_text_on(spark):
+    rng = random.Random(21)
+    shared, numbers, short = sentence(rng, 50), " ".join(str(k) for k in range(50)), sentence(rng, 49)
+    own = [sentence(rng, 60) for _ in range(6)]
+    texts = {1: [own[0], shared], 2: [shared, own[1], shared], 3: [own[2], numbers, short], 4: [numbers, own[3], short], 5: [own[4], shared + " more"], 6: [own[5]], 7: [own[5]]}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    want = {**texts, 2: [own[1]], 4: [own[3], short]}
+    assert got == {i: ("\n".join(t), len(texts[i]) - len(t)) for i, t in want.items()}
+
+
 def test_packing(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
