@@ -10,8 +10,8 @@ probability is the mean of two: that of its subwords one after the other, and it
 of the training words, smoothed, which knows the words that a small network forgets.
 
 The corpus is gathered in one pass over buckets of documents: word counts, subword
-counts, and a window of every training document to train on.  Training runs on all of
-those windows, in rounds: tasks train from the same weights, and the mean of theirs
+counts, and the subwords of every training document.  Training runs on all of them,
+cut into windows that predict each subword once, in rounds: tasks train from the same weights, and the mean of theirs
 begins the next round.  Word counts go back to the buckets that hold the word, so no
 task or driver holds the corpus's vocabulary.
 """
@@ -38,7 +38,6 @@ class Shape(NamedTuple):
     width: int = 16
     hidden: int = 40
     block: int = 16
-    windows: int = 1  # of a training document, to train on
     rounds: int = 2
     batch: int = 16  # windows
     least_steps: int = 300  # of a task in a round; it goes over its windows again until then
@@ -233,6 +232,8 @@ def _word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.int64), np.concatenate(first)
 
 
+#: Ids of a training text, its end before and after: the vocabulary is below 65536.
+LINE = "<u2"
 _GATHERED = "kind int, bucket int, word long, n long, ids binary"
 
 
@@ -244,25 +245,20 @@ def _gather(path: str | None, s: Shape):
         code, first = _word_codes(text)
         words, at = np.unique(code, return_inverse=True)
         n = np.bincount(at, np.repeat(~held, np.diff(first)), minlength=len(words)).astype(np.int64)
-        # subwords of training texts, and windows of each
-        own, total, windows = tokenizer(path), np.zeros(s.vocabulary, np.int64), []
-        span = 2 * s.block + 1
+        # subwords of training texts, and each text's line of them
+        own, total, lines = tokenizer(path), np.zeros(s.vocabulary, np.int64), []
         for i, j, buf, offsets in text_slices(text):
             texts, _ = split_marks(buf, offsets)
             keep = np.flatnonzero(~held[i:j])
             ids, where, _ = own.encode([texts[k] for k in keep])
             total += np.bincount(ids, minlength=s.vocabulary)
             total[s.end] += len(keep)
-            for a, z in zip(where[:-1].tolist(), where[1:].tolist(), strict=True):
-                line = np.concatenate(([s.end], ids[a:z], [s.end])).astype("<u4")
-                for k in range(min(s.windows, max(1, len(line) // span))):
-                    start = (a * 2654435761 + z + k * 40503) % max(1, len(line) - span + 1)
-                    windows.append(line[start : start + span].tobytes())
+            lines += [np.concatenate(([s.end], ids[a:z], [s.end])).astype(LINE).tobytes() for a, z in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
         seen = np.flatnonzero(total)
         parts = [
             (0, np.append(words, END_WORD), np.append(n, int((~held).sum())), None),
             (1, seen, total[seen], None),
-            (2, np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64), windows),
+            (2, np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), lines),
         ]
         return pa.concat_tables([pa.table({"kind": pa.array(np.full(len(w), kind, np.int32)), "bucket": pa.array(np.full(len(w), bucket, np.int32)), "word": pa.array(w, pa.int64()), "n": pa.array(c, pa.int64()), "ids": pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(w), pa.binary())}) for kind, w, c, ids in parts])
 
@@ -273,32 +269,41 @@ def _gather(path: str | None, s: Shape):
 KEPT = 4096
 
 
+def cut_windows(lines: list[bytes], s: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(windows x 2 * block + 1 ids, which of all but the first are the line's) of all lines; a window begins with the id that the one before it ends with."""
+    ids, size, step = np.frombuffer(b"".join(lines), LINE), np.array([len(x) // 2 for x in lines], np.int64), 2 * s.block
+    number = -(-(size - 1) // step)
+    nth = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    at = (np.repeat(np.cumsum(size) - size, number) + nth * step)[:, None] + np.arange(step + 1)
+    inside = at < np.repeat(np.cumsum(size), number)[:, None]
+    return np.where(inside, ids[np.minimum(at, len(ids) - 1)], np.uint16(s.end)), inside[:, 1:]
+
+
 def _train(weights: Weights, classes: Classes, s: Shape, rate: float):
     def run(batches):
-        adam, span, seen, kept, held = Adam(weights, rate), 2 * s.block + 1, 0, [], []
-
-        def step(lines: list[bytes]) -> None:
-            ids = np.full((len(lines), span), s.end, np.int64)
-            valid = np.zeros((len(lines), span - 1), np.float32)
-            for k, b in enumerate(lines):
-                line = np.frombuffer(b, "<u4")
-                ids[k, : len(line)] = line
-                valid[k, : len(line) - 1] = 1
+        adam, seen, kept = Adam(weights, rate), 0, []
+
+        def step(ids: np.ndarray, valid: np.ndarray) -> None:
             x = classes.of_id[ids]
-            adam.step(loss_and_gradient(adam.w, x[:, :-1], x[:, 1:], valid)[1])
+            adam.step(loss_and_gradient(adam.w, x[:, :-1], x[:, 1:], valid.astype(np.float32))[1])
 
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                held.append(b)
-                seen += 1
-                if len(kept) < KEPT:
-                    kept.append(b)
-                if len(held) == s.batch:
-                    step(held)
-                    held = []
-        order = np.random.Generator(np.random.PCG64(seen))
-        while kept and adam.t < s.least_steps:
-            step([kept[k] for k in order.integers(0, len(kept), s.batch)])
+            if not batch.num_rows:
+                continue
+            ids, valid = cut_windows(batch.column(0).to_pylist(), s)
+            if seen < KEPT:
+                kept.append((ids[: KEPT - seen], valid[: KEPT - seen]))
+            # neighbours of one text do not make a step of their own
+            order = np.random.Generator(np.random.PCG64(seen)).permutation(len(ids))
+            for a in range(0, len(order), s.batch):
+                step(ids[order[a : a + s.batch]], valid[order[a : a + s.batch]])
+            seen += len(ids)
+        rng = np.random.Generator(np.random.PCG64(seen))
+        if kept:
+            ids, valid = (np.concatenate(x) for x in zip(*kept, strict=True))
+            while adam.t < s.least_steps:
+                some = rng.integers(0, len(ids), s.batch)
+                step(ids[some], valid[some])
         if seen:
             flat = np.append(pack_weights(adam.w).astype(float), 1.0) * seen
             task = TaskContext.get().partitionId()
@@ -308,10 +313,10 @@ def _train(weights: Weights, classes: Classes, s: Shape, rate: float):
     return run
 
 
-def train(windows: DataFrame, classes: Classes, s: Shape) -> Weights:
+def train(lines: DataFrame, classes: Classes, s: Shape) -> Weights:
     weights = first_weights(s)
     for r in range(s.rounds):
-        parts = tree_sum(windows.mapInArrow(_train(weights, classes, s, s.rate / (1 + r)), "task int, block int, sums binary"))
+        parts = tree_sum(lines.mapInArrow(_train(weights, classes, s, s.rate / (1 + r)), "task int, block int, sums binary"))
         if not parts:  # nothing to train on
             break
         flat = np.concatenate(parts)

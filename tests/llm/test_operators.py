@@ -160,6 +160,18 @@ def test_language_model(docs, empty):
     assert language_model.score_texts(empty, shape=shape).count() == 0
 
 
+def test_training_reads_every_subword():
+    pytest.importorskip("public_tokenizers")
+    rng, s = random.Random(2), language_model.Shape()
+    texts = [sentence(rng, n) for n in (0, 1, 40, 3000)]
+    got = language_model._gather(None, s)(pa.table({"text": texts, "held_out": [False] * 4, "bucket": pa.array([0] * 4, pa.int32())})).to_pylist()
+    lines, counts = [r["ids"] for r in got if r["kind"] == 2], {r["word"]: r["n"] for r in got if r["kind"] == 1}
+    assert sum(map(len, lines)) >= 2 * sum(counts.values())
+    ids, valid = language_model.cut_windows(lines, s)
+    assert Counter(ids[:, 1:][valid].tolist()) == counts
+    assert ids.shape[1] == 2 * s.block + 1 and (ids[~np.pad(valid, ((0, 0), (1, 0)), constant_values=True)] == s.end).all()
+
+
 def test_gradient():
     s = language_model.Shape(side=3, shared=2, width=4, hidden=5, block=4, vocabulary=50, end=49)
     rng = np.random.default_rng(0)
