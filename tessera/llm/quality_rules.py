@@ -6,7 +6,8 @@ that lies far from every reference is rejected.  The references are sums over al
 documents of a language that are not full of symbols: classes of all bytes, and words
 hashed to a fixed number of bins of which the heaviest are the common words.  A histogram of
 few draws lies far from any reference by chance alone, so either rule speaks only
-from a minimum length on, and the distance allowed falls with the length.
+from a minimum length on, and the distance allowed falls with the length.  A document
+in a language too rare for a reference is not rejected for its distance from others.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Rules(NamedTuple):
     char_slack: float = 1.6  # allowed beside it, over the square root of the bytes
     word_distance: float = 0.25
     word_slack: float = 2.0  # over the square root of the words
-    min_share: float = 0.005  # of all documents that a language needs for a reference
+    min_share: float = 0.005  # of all documents that a language needs for a reference; the distance rules are silent on a language without one
     clean_symbols: float = 0.02  # share of symbols up to which a document counts for its reference
 
 
@@ -196,15 +197,17 @@ def distances(m: Measured, references: list[Reference]) -> tuple[np.ndarray, np.
 _OUT = "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def _verdicts(column: pa.Array, references: list[Reference], rules: Rules) -> list[np.ndarray]:
-    """The columns of _OUT but the id, for a column of texts."""
-    parts = []
-    for _, _, buf, offsets in text_slices(column):
+def _verdicts(column: pa.Array, langs: pa.Array, references: list[Reference], rules: Rules) -> list[np.ndarray]:
+    """The columns of _OUT but the id, for columns of texts and of their languages."""
+    parts, names = [], {r.lang for r in references}
+    known = np.array([(x or "") in names for x in langs.to_pylist()], bool)
+    for i, j, buf, offsets in text_slices(column):
         m = measure(buf, offsets)
         size, n = m.classes.sum(1), np.diff(m.words.first)
         char, word = distances(m, references)
         far = (size >= rules.least_chars) & (char > rules.char_distance + rules.char_slack / np.sqrt(np.maximum(size, 1)))
         far |= (n >= rules.least_words) & (word > rules.word_distance + rules.word_slack / np.sqrt(np.maximum(n, 1)))
+        far &= known[i:j]
         failed = (n < 20) | (100 * m.repeats > 30 * n)
         parts.append((n, m.chars, m.classes[:, CLASSES.index("symbol")], m.lines, m.repeats, failed, ~failed & ~far, char, word))
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -214,17 +217,17 @@ def _judge(references: list[Reference], rules: Rules):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                columns = _verdicts(batch.column(1), references, rules)
+                columns = _verdicts(batch.column(1), batch.column(2), references, rules)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [x.split()[0] for x in _OUT.split(", ")])
 
     return run
 
 
-def _keep(references: list[Reference], rules: Rules, at: int):
+def _keep(references: list[Reference], rules: Rules, at: int, lang: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(_verdicts(batch.column(at), references, rules)[6]))
+                yield batch.filter(pa.array(_verdicts(batch.column(at), batch.column(lang).cast(pa.string()), references, rules)[6]))
 
     return run
 
@@ -234,18 +237,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null, empty or blank text has no words, distances of 0, and fails the base
     rule.  A document is held against every reference, whatever its own language is
-    said to be.  Repeated rows are judged each by itself; a null id stays; other
+    said to be; where that language has none, the distances are given but do not
+    reject.  Repeated rows are judged each by itself; a null id stays; other
     columns are ignored; no rows give no rows.
     """
     references = language_references(docs, text_col, lang_col, rules)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return rows.mapInArrow(_judge(references, rules), _OUT.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with all columns; no row is shuffled."""
     references = language_references(docs, text_col, lang_col, rules)
-    return docs.mapInArrow(_keep(references, rules, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(_keep(references, rules, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,6 +237,16 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_a_rare_language_is_not_held_against_others(spark):
+    rng = random.Random(31)
+    rare = " ".join("ÑÜÇ" + rng.choice(WORDS).upper() + "!" for _ in range(120))
+    rows = [(i, sentence(rng, 80), "en") for i in range(300)] + [(300, rare, "xx"), (301, rare, None), (302, rare, "en"), (303, "too short", "yy")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(table).where("kept").collect()}
+    assert kept & {300, 301, 302, 303} == {300, 301}
+    assert {r["doc_id"] for r in quality_rules.drop_low_quality(table).collect()} == kept
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = random.Random(4)
     rows = [(i, sentence(rng, 60) if i % 2 else " ".join(w + rng.choice(("###", "$$$")) for w in sentence(rng, 60).split())) for i in range(400)]
