@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 #: (name, pattern, order of symbols) from the narrowest.
 ENCODINGS = (

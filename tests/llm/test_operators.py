@@ -332,6 +332,15 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_values_after_a_name_are_tested(spark):
+    rng = random.Random(18)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(48)) for _ in range(3)]
+    text = f"SESSION_KEY={keys[0]} sig={keys[1]}== {keys[2]}= a_name_of_20_letters_or_more=1"
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[s["start"] : s["end"]] for s in got["spans"]] == [keys[0], keys[1] + "==", keys[2] + "="]
+    assert got["base"] == []
+
+
 def test_battery_keeps_its_level():
     rng = random.Random(1)
     for alphabet in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"):
