@@ -33,16 +33,16 @@ def nb_predict(spark, sf_dir):
     return models.nb_predict(counts, *models.nb_fit(counts, labels)).select("doc", "prediction")
 
 
-def _word_vectors(spark: SparkSession, sf_dir: str, cap: int) -> DataFrame:
+def _word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    fitted = features.TallTfidf("word", T.profile_p1, cap, cap).fit(d.where(folds.group_fold(F.col("doc_id")) != 0), "doc_id", "text")
+    fitted = features.TallTfidf("word", T.profile_p1).fit(d.where(folds.group_fold(F.col("doc_id")) != 0), "doc_id", "text")
     vectors = features.assemble(fitted.transform(d, "doc_id", "text"), fitted.names())
     truth = d.join(domain(spark), d.lang == F.col("label")).select(F.col("doc_id").alias("doc"), F.col("idx").cast("double").alias("label"), folds.group_fold(F.col("doc_id")).alias("fold"))
     return vectors.join(truth, "doc").cache()
 
 
-def _evaluated(df: DataFrame, spark: SparkSession, model_id: str, validation: tuple[int, ...]) -> DataFrame:
-    out = models.cross_validate(df, model_id, validation)
+def _evaluated(df: DataFrame, spark: SparkSession, model_id: str) -> DataFrame:
+    out = models.cross_validate(df, model_id)
     names = F.array(*map(F.lit, LABELS))
     named = out.select(F.element_at(names, (F.col("label") + 1).cast("int")).alias("truth"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("prediction"))
     return rounded(metrics.headline(metrics.confusion(named, domain(spark))))
@@ -50,17 +50,17 @@ def _evaluated(df: DataFrame, spark: SparkSession, model_id: str, validation: tu
 
 @query()
 def lr_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "logistic_regression_c1_balanced", (1, 2))
+    return _evaluated(_word_vectors(spark, sf_dir), spark, "logistic_regression_c1_balanced")
 
 
 @query()
 def svm_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "linear_svm_c0_5", (1,))
+    return _evaluated(_word_vectors(spark, sf_dir), spark, "linear_svm_c0_5")
 
 
 @query()
 def nb_cv(spark, sf_dir):
-    return _evaluated(_word_vectors(spark, sf_dir, 1000), spark, "multinomial_nb", (1, 2))
+    return _evaluated(_word_vectors(spark, sf_dir), spark, "multinomial_nb")
 
 
 @query()
@@ -68,5 +68,5 @@ def embedding_cv(spark, sf_dir):
     """Logistic regression on dense vectors; the ten labels as they are."""
     e = table(spark, sf_dir, "embeddings")
     dense = features.dense_features(e, "vec_id", "embedding").join(e.select(F.col("vec_id").alias("doc"), F.col("label").cast("double").alias("label"), folds.group_fold(F.col("vec_id")).alias("fold")), "doc").cache()
-    out = models.cross_validate(dense, "logistic_regression_c1_balanced", (1, 2))
+    out = models.cross_validate(dense, "logistic_regression_c1_balanced")
     return out.groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("accuracy"))

@@ -52,3 +52,26 @@ def test_streamed_answers_equal_batch(spark):
     q = all_queries()
     batch, stream = q["predict_batch"](spark, DIR), q["predict_stream_batch"](spark, DIR)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+
+
+@pytest.mark.parametrize("name", ["lr_cv", "svm_cv", "nb_cv", "embedding_cv"])
+def test_models_are_validated_on_all_development_rows(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+    from tessera.operators import features, folds, models
+    from tessera.functions import text as T
+
+    seen = {}
+
+    def split(df, fold, fold_col="fold"):
+        valid = df.where(F.col(fold_col) == fold)
+        seen[fold] = df.first()["features"].size
+        return valid, valid
+
+    monkeypatch.setattr(models, "split", split)
+    monkeypatch.setattr(models, "fit_predict", lambda train, valid, model_id: valid.select("doc", "label", F.col("label").alias("prediction"), F.lit(1.0).alias("confidence")))
+    all_queries()[name](spark, DIR).collect()
+    assert sorted(seen) == [1, 2, 3, 4]
+    if name != "embedding_cv":
+        d = spark.read.parquet(f"{DIR}/documents.parquet")
+        names = features.TallTfidf("word", T.profile_p1, 60_000, 60_000).fit(d.where(folds.group_fold(F.col("doc_id")) != 0), "doc_id", "text").names().count()
+        assert set(seen.values()) == {names}
