@@ -208,7 +208,13 @@ def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _number(kind: int):
+    """How many base spans are of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of each document's base spans, and all its spans, of every whole text."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    number = [_number(k) for k in range(3)]
     return found.select("doc_id", *number, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
