@@ -1,52 +1,58 @@
 """Operator 3: scoring with a causal self-attention model, trained in numpy.
 
 The model reads subword ids.  The most frequent ids are classes of their own, the rest
-share classes by rank; one attention layer over classes gives the class of the next
-subword, in two steps of a square of classes, and corpus counts give the id within its
-class.  A text is cut into blocks; a
-window is a block and the one before it, so windows overlap by a block and every
-subword is scored once, from at least a block of context where there is one.  A word's
-probability is the mean of two: that of its subwords one after the other, and its share
-of the training words, smoothed, which knows the words that a small network forgets.
-
-The corpus is gathered in one pass over buckets of documents: word counts, subword
-counts, and the subwords of every training document.  Training runs on all of them,
-cut into windows that predict each subword once, in rounds: tasks train from the same weights, and the mean of theirs
-begins the next round.  Word counts go back to the buckets that hold the word, so no
+share classes by rank; classes lie in a square, of which a row holds classes that follow
+the same ones.  The hidden state of a place joins the embeddings of the last three
+subwords and what one attention layer gathers from the window; it gives the row of the
+next class, then its column, and corpus counts give the id within its class.  The two
+output layers start from the corpus's class bigrams, counted over every training subword.
+
+A text is cut into blocks; a window is a block and the one before it, so windows overlap by
+a block and every subword is scored once, with at least a block of context where there is
+one.  A text's score is the sum over its subwords and its end: the model's alone, a
+distribution over ids at every place.
+
+Texts are tokenised once, in buckets: word counts, subword counts, and the line of subwords
+of every document.  Training runs on every line of the training documents, cut into
+windows that predict each subword once.  Lines are dealt to rounds; in a round tasks train
+from the same weights, and the mean of theirs, by what they saw, begins the next.
+Word counts, which the base score needs, go back to the buckets that hold the word, so no
 task or driver holds the corpus's vocabulary.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import _BLOCKS, tree_sum
-from .packing import split_marks, tokenizer
+from .packing import forget_words, split_marks, tokenizer
 from .shared import hash_words, materialize, small_batches, table, text_slices
 
 
 class Shape(NamedTuple):
     side: int = 32  # classes form a square: the row is predicted first, then the column
     shared: int = 64  # classes, of side squared, that many ids share; each other one is an id
-    width: int = 16
-    hidden: int = 40
+    width: int = 8
+    hidden: int = 16
     block: int = 16
-    rounds: int = 2
-    batch: int = 16  # windows
+    rounds: int = 2  # each line is in one of them
+    batch: int = 64  # windows
     least_steps: int = 300  # of a task in a round; it goes over its windows again until then
-    rate: float = 0.01
+    rate: float = 0.02
     smoothing: float = 0.1  # of the ids in a class
-    attention: float = 0.2  # weight of the attention model beside the word counts
+    discount: float = 0.75  # of the counts of class bigrams
     end: int = 49407  # the id before and after a text
     vocabulary: int = 49408
-    bucket_bytes: int = 12 << 20  # text that a task holds at once
+    bucket_bytes: int = 6 << 20  # text that a task holds at once
     fold: int = 10  # ids whose crc32 modulo fold is 0 are held out
 
 
@@ -55,6 +61,13 @@ class Classes(NamedTuple):
     log_share: np.ndarray  # log10 of the id's share of its class
 
 
+class Prior(NamedTuple):
+    """What the output layers start from: logarithms of class bigram shares."""
+
+    row: np.ndarray  # of the next row, by class
+    col: np.ndarray  # of the next column, by class and row
+
+
 Weights = dict[str, np.ndarray]
 
 
@@ -70,12 +83,45 @@ def make_classes(counts: np.ndarray, s: Shape) -> Classes:
     return Classes(of_id, np.log10(smooth / total[of_id]))
 
 
+def _halves(members: np.ndarray, features: np.ndarray, groups: int, side: int) -> list[np.ndarray]:
+    """members in groups of side alike ones, by cuts across the widest direction."""
+    if groups == 1:
+        return [members]
+    own = features[members] - features[members].mean(0)
+    members = members[np.argsort(own @ np.linalg.svd(own, full_matrices=False)[2][0], kind="stable")]
+    cut = groups // 2 * side
+    return _halves(members[:cut], features, groups // 2, side) + _halves(members[cut:], features, groups - groups // 2, side)
+
+
+def arrange(classes: Classes, bigrams: np.ndarray, s: Shape) -> tuple[Classes, Prior]:
+    """Classes that follow the same ones share a row; the prior of class bigrams."""
+    k = s.side**2
+    profile = np.sqrt(bigrams / np.maximum(bigrams.sum(0), 1))
+    draw = np.random.Generator(np.random.PCG64(3)).standard_normal((k, min(k, 40)))
+    basis = np.linalg.svd(profile.T @ (profile @ draw), full_matrices=False)[0][:, :24]
+    features = profile.T @ (profile @ basis)
+    features /= np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-9)
+    place = np.empty(k, np.int32)
+    place[np.concatenate(_halves(np.arange(k), features, s.side, s.side))] = np.arange(k)
+    moved = np.empty_like(bigrams)
+    moved[np.ix_(place, place)] = bigrams
+    alone = moved.sum(0) + 0.01
+    alone /= alone.sum()
+    # absolute discounting: what is taken from the seen pairs goes to the next class alone
+    n, kinds = moved.sum(1, keepdims=True), (moved > 0).sum(1, keepdims=True)
+    share = np.where(n > 0, (np.maximum(moved - s.discount, 0) + s.discount * kinds * alone) / np.maximum(n, 1), alone)
+    square = (share / share.sum(1, keepdims=True)).reshape(k, s.side, s.side)
+    of_row = square.sum(2)
+    return Classes(place[classes.of_id], classes.log_share), Prior(np.log(of_row).astype(np.float32), np.log(square / of_row[:, :, None]).reshape(k * s.side, s.side).astype(np.float32))
+
+
 def first_weights(s: Shape, seed: int = 11) -> Weights:
     rng = np.random.Generator(np.random.PCG64(seed))
     k, d, m = s.side, s.width, s.hidden
-    normal = lambda *size: (rng.standard_normal(size) / math.sqrt(size[0])).astype(np.float32)
-    zeros = lambda *size: np.zeros(size, np.float32)
-    return {"e": normal(k * k, d) * k / 2, "q": normal(d, d), "k": normal(d, d), "v": normal(d, d), "far": zeros(2 * s.block), "a": normal(d, m), "b": normal(d, m), "c": zeros(m), "row": normal(m, k), "row_bias": zeros(k), "given_row": zeros(k, m), "col": normal(m, k), "col_bias": zeros(k, k)}
+    normal = lambda scale, *size: (rng.standard_normal(size) * scale).astype(np.float32)
+    deep = 1 / math.sqrt(d)
+    # a: embeddings of the place, of the one and the two before it, and what attention gathers
+    return {"e": normal(0.5, k * k, d), "q": normal(deep, d, d), "k": normal(deep, d, d), "v": normal(deep, d, d), "far": np.zeros(2 * s.block, np.float32), "a": normal(deep / 4, 4 * d, m), "c": np.zeros(m, np.float32), "row": np.zeros((m, k), np.float32), "given_row": np.zeros((k, m), np.float32), "col": normal(0.1 / math.sqrt(m), m, k)}
 
 
 def pack_weights(w: Weights) -> np.ndarray:
@@ -93,59 +139,91 @@ def unpack_weights(flat: np.ndarray, like: Weights) -> Weights:
 def _causal(far: np.ndarray, queries: int, keys: int) -> np.ndarray:
     """Bias by distance of query i (the last ones) and key j; minus infinity ahead."""
     gap = (np.arange(queries)[:, None] + keys - queries) - np.arange(keys)
-    return np.where(gap >= 0, far[np.clip(gap, 0, len(far) - 1)], -np.inf).astype(np.float32)
+    return np.where(gap >= 0, far[np.clip(gap, 0, len(far) - 1)], -np.inf).astype(far.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+def _exp_sum(x: np.ndarray) -> np.ndarray:
+    """x becomes its exponential, with a bound for large values; the sum over the last axis.
+
+    A product with ones is several times faster than a sum over a short axis.
+    """
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    return x @ np.ones((x.shape[-1], 1), x.dtype)
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """out[k]: the sum of the rows of values whose key is k."""
-    order = np.argsort(keys, kind="stable")
+    """out[k]: the sum of the rows of values whose key, below 65536, is k."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys = keys[order]
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     out[keys[start]] = np.add.reduceat(values[order], start, axis=0)
     return out
 
 
-def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, Weights]:
+def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarray, prior: Prior | None = None) -> tuple[float, Weights]:
     """Mean negative log-likelihood of classes y after x (windows x length), and its gradient."""
     n, length = x.shape
-    d, side = w["q"].shape[0], w["row"].shape[1]
-    e = w["e"][x]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-    scale = np.float32(1 / math.sqrt(d))
-    att = _softmax(q @ k.transpose(0, 2, 1) * scale + _causal(w["far"], length, length))
+    d, side, kind = w["q"].shape[0], w["row"].shape[1], w["e"].dtype
+    size, flat_x, flat_y = n * length, x.ravel(), y.ravel()
+    e = np.take(w["e"], flat_x, 0)
+    scale = kind.type(1 / math.sqrt(d))
+    q, k, v = ((e @ z).reshape(n, length, d) for z in (w["q"] * scale, w["k"], w["v"]))
+    att = q @ k.transpose(0, 2, 1)
+    att += _causal(w["far"], length, length)
+    att /= _exp_sum(att)
     o = att @ v
-    flat = lambda z: z.reshape(n * length, -1)
-    h = flat(e @ w["a"] + o @ w["b"] + w["c"])
-    row, col = (y // side).ravel(), (y % side).ravel()
-    at, share = np.arange(n * length), (valid / np.float32(max(1.0, float(valid.sum())))).ravel()
+    given = np.zeros((n, length, 4 * d), kind)
+    given[:, :, :d] = e.reshape(n, length, d)
+    given[:, 1:, d : 2 * d] = given[:, :-1, :d]
+    given[:, 2:, 2 * d : 3 * d] = given[:, :-2, :d]
+    given[:, :, 3 * d :] = o
+    given = given.reshape(size, 4 * d)
+    row, at = flat_y // side, np.arange(size)
+    share = (valid / max(1.0, float(valid.sum()))).astype(kind).ravel()
+    # the states of the row above those of the column
+    h = np.empty((2 * size, w["row"].shape[0]), kind)
+    np.matmul(given, w["a"], out=h[:size])
+    h[:size] += w["c"]
+    np.add(h[:size], np.take(w["given_row"], row, 0), out=h[size:])
     r = np.maximum(h, 0)
-    g1 = _softmax(r @ w["row"] + w["row_bias"])
-    h2 = h + w["given_row"][row]
-    r2 = np.maximum(h2, 0)
-    g2 = _softmax(r2 @ w["col"] + w["col_bias"][row])
-    loss = -float(((np.log(g1[at, row] + 1e-30) + np.log(g2[at, col] + 1e-30)) * share).sum())
-    g1[at, row] -= 1
-    g2[at, col] -= 1
-    g1 *= share[:, None]
-    g2 *= share[:, None]
-    back2 = (g2 @ w["col"].T) * (h2 > 0)
-    gh = (g1 @ w["row"].T) * (h > 0) + back2
-    out: Weights = {"row": r.T @ g1, "row_bias": g1.sum(0), "col": r2.T @ g2, "col_bias": _sum_by(row, g2, np.zeros_like(w["col_bias"])), "given_row": _sum_by(row, back2, np.zeros_like(w["given_row"]))}
-    out["a"], out["b"], out["c"] = flat(e).T @ gh, flat(o).T @ gh, gh.sum(0)
-    ge, go = (gh @ w["a"].T).reshape(e.shape), (gh @ w["b"].T).reshape(o.shape)
-    gv, gatt = att.transpose(0, 2, 1) @ go, go @ v.transpose(0, 2, 1)
-    gs = att * (gatt - (gatt * att).sum(-1, keepdims=True))
+    g = np.empty((2 * size, side), kind)
+    np.matmul(r[:size], w["row"], out=g[:size])
+    np.matmul(r[size:], w["col"], out=g[size:])
+    if prior is not None:
+        g[:size] += np.take(prior.row, flat_x, 0)
+        g[size:] += np.take(prior.col, flat_x * side + row, 0)
+    twice, wanted = np.arange(2 * size), np.concatenate((row, flat_y - row * side))
+    both = np.concatenate((share, share))
+    total = _exp_sum(g)
+    loss = float((np.log(total[:, 0] / g[twice, wanted]) * both).sum())
+    g *= both[:, None] / total
+    g[twice, wanted] -= both
+    gh = np.empty_like(h)
+    np.matmul(g[:size], w["row"].T, out=gh[:size])
+    np.matmul(g[size:], w["col"].T, out=gh[size:])
+    gh *= r > 0
+    hot = np.zeros((size, side), kind)
+    hot[at, row] = 1
+    out: Weights = {"row": r[:size].T @ g[:size], "col": r[size:].T @ g[size:], "given_row": hot.T @ gh[size:]}
+    gh = gh[:size] + gh[size:]
+    out["a"], out["c"] = given.T @ gh, np.ones(size, kind) @ gh
+    back = (gh @ w["a"].T).reshape(n, length, 4 * d)
+    ge, go = back[:, :, :d].copy(), back[:, :, 3 * d :].copy()
+    ge[:, :-1] += back[:, 1:, d : 2 * d]
+    ge[:, :-2] += back[:, 2:, 2 * d : 3 * d]
+    gv = att.transpose(0, 2, 1) @ go
+    gs = go @ v.transpose(0, 2, 1)
+    gs -= ((go * o).reshape(size, d) @ np.ones((d, 1), kind)).reshape(n, length, 1)
+    gs *= att
     gap = np.arange(length)[:, None] - np.arange(length)
-    out["far"] = np.bincount(np.minimum(gap[gap >= 0], len(w["far"]) - 1), gs.sum(0)[gap >= 0], minlength=len(w["far"])).astype(np.float32)
-    for name, grad in (("q", gs @ k * scale), ("k", gs.transpose(0, 2, 1) @ q * scale), ("v", gv)):
-        out[name] = flat(e).T @ flat(grad)
-        ge = ge + grad @ w[name].T
-    out["e"] = _sum_by(x.ravel(), flat(ge), np.zeros_like(w["e"]))
+    out["far"] = np.bincount(np.minimum(gap[gap >= 0], len(w["far"]) - 1), gs.sum(0)[gap >= 0], minlength=len(w["far"])).astype(kind)
+    ge = ge.reshape(size, d)
+    for name, grad, factor in (("q", gs @ k, scale), ("k", gs.transpose(0, 2, 1) @ q, kind.type(1)), ("v", gv, kind.type(1))):
+        grad = grad.reshape(size, d)
+        out[name] = e.T @ grad * factor
+        ge += grad @ (w[name].T * factor)
+    out["e"] = _sum_by(flat_x, ge, np.zeros_like(w["e"]))
     return loss, out
 
 
@@ -156,27 +234,27 @@ class Adam:
 
     def step(self, g: Weights) -> None:
         self.t += 1
-        rate = self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
-
-
-def _log10_of(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 of the softmax at a position of each row; logit is used up."""
-    logit -= logit.max(-1, keepdims=True)
-    wanted = logit[np.arange(len(logit)), at]
-    return (wanted - np.log(np.exp(logit, out=logit).sum(-1))) / np.float32(math.log(10))
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            x *= x
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * x
+            self.w[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
 
 
 class Scorer:
     """Batched masked attention with the tables that depend on the class alone worked out before."""
 
-    def __init__(self, w: Weights, classes: Classes, s: Shape):
-        self.s, self.classes = s, classes
-        self.q, self.k, self.v = w["e"] @ w["q"] / np.float32(math.sqrt(s.width)), w["e"] @ w["k"], w["e"] @ w["v"]
-        self.w, self.a = w, w["e"] @ w["a"] + w["c"]
+    def __init__(self, w: Weights, classes: Classes, prior: Prior, s: Shape):
+        self.s, self.classes, self.w, self.prior, d = s, classes, w, prior, s.width
+        e = np.concatenate((w["e"], np.zeros((1, d), np.float32)))  # nothing stands before a text's first place
+        self.q, self.k, self.v = e @ w["q"] / np.float32(math.sqrt(d)), e @ w["k"], e @ w["v"]
+        self.a = [e @ w["a"][j * d : (j + 1) * d] for j in range(3)]
+        self.a[0] += w["c"]
+        self.out = w["a"][3 * d :]
         self.bias = _causal(w["far"], s.block, 2 * s.block)
         self.alone = self.bias.copy()
         self.alone[:, : s.block] = -np.inf  # there is no block before the first
@@ -191,31 +269,48 @@ class Scorer:
         nth = np.arange(len(doc)) - base[doc]
         # tokens lie in rows of s.block, each text from a row's begin; the input is the end id and the text
         place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first)) + np.repeat(base[:-1] * s.block, np.diff(first))
-        target = np.full(len(doc) * s.block, s.end, np.int64)
+        target = np.full(len(doc) * s.block, s.end, np.int32)
         target[place] = ids
-        given = np.full(len(doc) * s.block, s.end, np.int64)
-        given[place + 1] = ids  # a text has a place more than ids, so this stays inside it
-        x, y = self.classes.of_id[given].reshape(-1, s.block), self.classes.of_id[target].reshape(-1, s.block)
-        got = np.zeros(len(doc) * s.block)
-        for a in range(0, len(doc), 64):
-            z = min(a + 64, len(doc))
-            now, before = x[a:z], x[np.maximum(np.arange(a, z) - 1, 0)]
-            both = np.concatenate((before, now), 1)
-            score = np.take(self.q, now, 0) @ np.take(self.k, both, 0).transpose(0, 2, 1)
-            score += np.where((nth[a:z] == 0)[:, None, None], self.alone, self.bias)
-            score -= score.max(-1, keepdims=True)
-            att = np.exp(score, out=score)
-            o = (att @ np.take(self.v, both, 0)) / att.sum(-1, keepdims=True)
-            h = (np.take(self.a, now, 0) + o @ self.w["b"]).reshape(-1, s.hidden)
-            row, col = np.divmod(y[a:z].ravel(), s.side)
-            got[a * s.block : z * s.block] = _log10_of(np.maximum(h, 0) @ self.w["row"] + self.w["row_bias"], row)
-            given = np.maximum(h + np.take(self.w["given_row"], row, 0), 0) @ self.w["col"] + np.take(self.w["col_bias"], row, 0)
-            got[a * s.block : z * s.block] += _log10_of(given, col)
-        got += self.classes.log_share[target]
-        return got[place], got[base[:-1] * s.block + size - 1]
-
-
-_LN10 = math.log(10)
+        begin = base[:-1] * s.block
+        # a text has a place more than ids, so its inputs stay inside it
+        x = [np.full(len(target), s.side**2, np.int32) for _ in range(3)]
+        x[0][:] = self.classes.of_id[s.end]
+        x[0][place + 1] = self.classes.of_id[ids]
+        for j in (1, 2):
+            x[j][j:] = x[0][:-j]
+            for k in range(j):
+                x[j][begin + k] = s.side**2
+        y = self.classes.of_id[target]
+        got = np.empty(len(target), np.float32)
+        blocks = x[0].reshape(-1, s.block)
+        for a in range(0, len(doc), 128):
+            z = min(a + 128, len(doc))
+            some = slice(a * s.block, z * s.block)
+            seen = np.concatenate((blocks[np.maximum(np.arange(a, z) - 1, 0)], blocks[a:z]), 1)
+            att = np.take(self.q, blocks[a:z], 0) @ np.take(self.k, seen, 0).transpose(0, 2, 1)
+            att += np.where((nth[a:z] == 0)[:, None, None], self.alone, self.bias)
+            total = _exp_sum(att)
+            o = att @ np.take(self.v, seen, 0)
+            o /= total
+            h = o.reshape(-1, s.width) @ self.out
+            for table_, at in zip(self.a, x, strict=True):
+                h += np.take(table_, at[some], 0)
+            now, (row, col) = x[0][some], np.divmod(y[some], s.side)
+            got[some] = self._log(np.maximum(h, 0) @ self.w["row"], np.take(self.prior.row, now, 0), row)
+            h += np.take(self.w["given_row"], row, 0)
+            got[some] += self._log(np.maximum(h, 0) @ self.w["col"], np.take(self.prior.col, now * s.side + row, 0), col)
+        out = got / math.log(10) + self.classes.log_share[target]
+        return out[place], out[begin + size - 1]
+
+    @staticmethod
+    def _log(logit: np.ndarray, prior: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logarithm of the softmax at a position of each row; logit is used up."""
+        logit += prior
+        np.minimum(logit, 60, out=logit)
+        wanted = logit[np.arange(len(logit)), at]
+        return wanted - np.log(_exp_sum(logit)[:, 0])
+
+
 #: The hash that stands for a text's end among words.
 END_WORD = -1
 
@@ -232,11 +327,18 @@ def _word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.int64), np.concatenate(first)
 
 
-#: Ids of a training text, its end before and after: the vocabulary is below 65536.
+#: Ids of a text, its end before and after: the vocabulary is below 65536.
 LINE = "<u2"
+#: Kinds of rows: a word's count, an id's count, the line of a training text, the line of one held out.
+#: A line's word is the hash of its text, its n the number of words that have no ids.
+WORD, ID, TRAINED, HELD = range(4)
 _GATHERED = "kind int, bucket int, word long, n long, ids binary"
 
 
+def _text_key(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
 def _gather(path: str | None, s: Shape):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -245,30 +347,35 @@ def _gather(path: str | None, s: Shape):
         code, first = _word_codes(text)
         words, at = np.unique(code, return_inverse=True)
         n = np.bincount(at, np.repeat(~held, np.diff(first)), minlength=len(words)).astype(np.int64)
-        # subwords of training texts, and each text's line of them
-        own, total, lines = tokenizer(path), np.zeros(s.vocabulary, np.int64), []
+        del code, at
+        own, total = tokenizer(path), np.zeros(s.vocabulary, np.int64)
+        lines: tuple = ([], [])
         for i, j, buf, offsets in text_slices(text):
-            texts, _ = split_marks(buf, offsets)
-            keep = np.flatnonzero(~held[i:j])
-            ids, where, _ = own.encode([texts[k] for k in keep])
-            total += np.bincount(ids, minlength=s.vocabulary)
-            total[s.end] += len(keep)
-            lines += [np.concatenate(([s.end], ids[a:z], [s.end])).astype(LINE).tobytes() for a, z in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
+            w = hash_words(buf, offsets, lower=False)
+            texts, cuts = split_marks(buf, offsets)
+            ids, where, size = own.encode(texts)
+            # a word's units: one more than the cuts inside it; a unit's ids: size
+            units = np.searchsorted(cuts, w.end) - np.searchsorted(cuts, w.start, "right") + 1
+            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(units)] if len(units) else np.zeros(0, np.int64)
+            bare = np.bincount(np.repeat(np.arange(j - i), np.diff(w.first)), np.diff(ends, prepend=0) == 0, minlength=j - i).astype(np.int64)
+            data = buf.tobytes()
+            for k in range(j - i):
+                own_ids = ids[where[k] : where[k + 1]]
+                line = np.concatenate(([s.end], own_ids, [s.end])).astype(LINE)
+                lines[int(held[i + k])].append((_text_key(data[offsets[k] : offsets[k + 1]]), int(bare[k]), line.tobytes()))
+            total += np.bincount(ids[np.repeat(~held[i:j], np.diff(where))], minlength=s.vocabulary)
+            total[s.end] += int((~held[i:j]).sum())
         seen = np.flatnonzero(total)
         parts = [
-            (0, np.append(words, END_WORD), np.append(n, int((~held).sum())), None),
-            (1, seen, total[seen], None),
-            (2, np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), lines),
+            (WORD, np.append(words, END_WORD), np.append(n, int((~held).sum())), None),
+            (ID, seen, total[seen], None),
+            *((kind, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), [x[2] for x in some]) for kind, some in zip((TRAINED, HELD), lines, strict=True)),
         ]
         return pa.concat_tables([pa.table({"kind": pa.array(np.full(len(w), kind, np.int32)), "bucket": pa.array(np.full(len(w), bucket, np.int32)), "word": pa.array(w, pa.int64()), "n": pa.array(c, pa.int64()), "ids": pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(w), pa.binary())}) for kind, w, c, ids in parts])
 
     return run
 
 
-#: Windows that a task keeps to go over again.
-KEPT = 4096
-
-
 def cut_windows(lines: list[bytes], s: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(windows x 2 * block + 1 ids, which of all but the first are the line's) of all lines; a window begins with the id that the one before it ends with."""
     ids, size, step = np.frombuffer(b"".join(lines), LINE), np.array([len(x) // 2 for x in lines], np.int64), 2 * s.block
@@ -279,89 +386,129 @@ def cut_windows(lines: list[bytes], s: Shape) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, ids[np.minimum(at, len(ids) - 1)], np.uint16(s.end)), inside[:, 1:]
 
 
-def _train(weights: Weights, classes: Classes, s: Shape, rate: float):
+#: Windows that a task keeps to go over again, and bytes of lines that are cut at once.
+KEPT, CUT_BYTES = 4096, 1 << 20
+
+
+def _portions(batches, s: Shape) -> Iterator[list[bytes]]:
+    """Lines of about CUT_BYTES; a longer line comes in pieces that begin with the id that the one before ends with."""
+    some, held, step = [], 0, CUT_BYTES // (4 * s.block) * 4 * s.block
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            for a in range(0, len(line) - 2, step):
+                some.append(line[a : a + step + 2])
+                held += len(some[-1])
+                if held >= CUT_BYTES:
+                    yield some
+                    some, held = [], 0
+    if some:
+        yield some
+
+
+def _sums(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    for k, part in enumerate(np.array_split(flat, _BLOCKS)):
+        yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "sums": [part.astype("<f8").tobytes()]})
+
+
+_SUMS = "task int, block int, sums binary"
+
+
+def _bigrams(classes: Classes, s: Shape):
     def run(batches):
+        k, total = s.side**2, None
+        for lines in _portions(batches, s):
+            if total is None:
+                total = np.zeros(k * k, np.int64)
+            c = classes.of_id[np.frombuffer(b"".join(lines), LINE)]
+            inside = np.ones(len(c), bool)
+            inside[np.cumsum([len(x) // 2 for x in lines]) - 1] = False  # the last id has no next one
+            inside = inside[:-1]
+            total += np.bincount((c[:-1] * k + c[1:])[inside], minlength=k * k)
+        if total is not None:
+            yield from _sums(total)
+
+    return run
+
+
+def _train(weights: Weights, classes: Classes, prior: Prior, s: Shape, rate: float):
+    def run(batches):
+        forget_words()
         adam, seen, kept = Adam(weights, rate), 0, []
 
         def step(ids: np.ndarray, valid: np.ndarray) -> None:
             x = classes.of_id[ids]
-            adam.step(loss_and_gradient(adam.w, x[:, :-1], x[:, 1:], valid.astype(np.float32))[1])
+            adam.step(loss_and_gradient(adam.w, np.ascontiguousarray(x[:, :-1]), np.ascontiguousarray(x[:, 1:]), valid.astype(np.float32), prior)[1])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, valid = cut_windows(batch.column(0).to_pylist(), s)
+        for lines in _portions(batches, s):
+            ids, valid = cut_windows(lines, s)
             if seen < KEPT:
-                kept.append((ids[: KEPT - seen], valid[: KEPT - seen]))
+                kept.append((ids[: KEPT - seen].copy(), valid[: KEPT - seen].copy()))
             # neighbours of one text do not make a step of their own
             order = np.random.Generator(np.random.PCG64(seen)).permutation(len(ids))
             for a in range(0, len(order), s.batch):
                 step(ids[order[a : a + s.batch]], valid[order[a : a + s.batch]])
             seen += len(ids)
-        rng = np.random.Generator(np.random.PCG64(seen))
         if kept:
+            rng = np.random.Generator(np.random.PCG64(seen))
             ids, valid = (np.concatenate(x) for x in zip(*kept, strict=True))
             while adam.t < s.least_steps:
                 some = rng.integers(0, len(ids), s.batch)
                 step(ids[some], valid[some])
-        if seen:
-            flat = np.append(pack_weights(adam.w).astype(float), 1.0) * seen
-            task = TaskContext.get().partitionId()
-            for k, part in enumerate(np.array_split(flat, _BLOCKS)):
-                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "sums": [part.astype("<f8").tobytes()]})
+            yield from _sums(np.append(pack_weights(adam.w).astype(float), 1.0) * seen)
 
     return run
 
 
-def train(lines: DataFrame, classes: Classes, s: Shape) -> Weights:
+def train(lines: DataFrame, counts: np.ndarray, s: Shape) -> tuple[Weights, Classes, Prior]:
+    """The model of lines (word, ids), given the counts of ids."""
+    k, classes = s.side**2, make_classes(counts, s)
+    parts = tree_sum(lines.select("ids").mapInArrow(_bigrams(classes, s), _SUMS))
+    classes, prior = arrange(classes, np.concatenate(parts).reshape(k, k) if parts else np.zeros((k, k)), s)
     weights = first_weights(s)
     for r in range(s.rounds):
-        parts = tree_sum(lines.mapInArrow(_train(weights, classes, s, s.rate / (1 + r)), "task int, block int, sums binary"))
-        if not parts:  # nothing to train on
-            break
-        flat = np.concatenate(parts)
-        weights = unpack_weights(flat[:-1] / flat[-1], weights)
-    return weights
+        own = lines.where(F.pmod(F.xxhash64("word"), F.lit(s.rounds)) == r).select("ids")
+        parts = tree_sum(own.mapInArrow(_train(weights, classes, prior, s, s.rate / (1 + r)), _SUMS))
+        if parts:
+            flat = np.concatenate(parts)
+            weights = unpack_weights(flat[:-1] / flat[-1], weights)
+    return weights, classes, prior
 
 
 _OUT = "doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(weights: Weights, classes: Classes, s: Shape, path: str | None, total: int, distinct: int):
+def _score(model: tuple[Weights, Classes, Prior], s: Shape, total: int, distinct: int):
     scorer: list[Scorer] = []
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not scorer:
-            scorer.append(Scorer(weights, classes, s))
-        docs = docs.combine_chunks()
+            scorer.append(Scorer(*model, s))
+        docs, told = docs.combine_chunks(), told.combine_chunks()
         text = docs.column("text").combine_chunks()
         code, first = _word_codes(text)
-        word, count = words.column("word").to_numpy(), words.column("total").to_numpy()
+        line = ~told.column("ids").is_null().to_numpy()
+        word, count = (told.column(c).to_numpy()[~line] for c in ("word", "n"))
         order = np.argsort(word)
         word, count = word[order], count[order]
         seen, at = np.unique(code, return_inverse=True)
         c = count[np.searchsorted(word, seen)][at] if len(seen) else np.zeros(0, np.int64)
         floor = math.log10(total + 0.1 * (distinct + 1))
-        log_word, log_end = np.log10(c + 0.1) - floor, math.log10(count[0] + 0.1) - floor  # END_WORD is the smallest
-        known = np.concatenate(([0], np.cumsum(c > 0)))
-        n = np.diff(first) + 1
-        own, base, score = tokenizer(path), [np.zeros(0)], [np.zeros(0)]
-        mixed = lambda a, b: np.logaddexp(a * _LN10 + math.log(s.attention), b * _LN10 + math.log(1 - s.attention)) / _LN10
+        log_end = math.log10(count[0] + 0.1) - floor  # END_WORD is the smallest
+        known, plain = (np.concatenate(([0], np.cumsum(x))) for x in (c > 0, np.log10(c + 0.1) - floor))
+        n, base = np.diff(first) + 1, np.diff(plain[first]) + log_end
+        del code, seen, at, c, plain
+        lines = {key: (bare, ids) for key, bare, ids in zip(*(told.column(x).filter(pa.array(line)).to_pylist() for x in ("word", "n", "ids")), strict=True)}
+        score = [np.zeros(0)]
         for i, j, buf, offsets in text_slices(text):
-            w = hash_words(buf, offsets, lower=True)
-            texts, cuts = split_marks(buf, offsets)
-            ids, where, size = own.encode(texts)
-            of_id, of_end = scorer[0].log10(ids, where)
-            # a word's units: one more than the cuts inside it; a unit's ids: size
-            units = np.searchsorted(cuts, w.end) - np.searchsorted(cuts, w.start, "right") + 1
-            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(units)] if len(units) else np.zeros(0, np.int64)
-            run_ = np.concatenate(([0.0], np.cumsum(of_id)))[np.concatenate(([0], ends))]
-            attended = np.where(np.diff(ends, prepend=0) > 0, np.diff(run_), -np.inf)  # a word without ids has its count alone
-            plain = log_word[first[i] : first[j]]
-            doc = np.repeat(np.arange(j - i), np.diff(w.first))
-            base.append(np.bincount(doc, plain, minlength=j - i) + log_end)
-            score.append(np.bincount(doc, mixed(attended, plain), minlength=j - i) + mixed(of_end, log_end))
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n, "n_known": known[first[1:]] - known[first[:-1]] + int(count[0] > 0), "base_score": np.concatenate(base), "score": np.concatenate(score)})
+            data = buf.tobytes()
+            own = [lines[_text_key(data[a:z])] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            where = np.concatenate(([0], np.cumsum([len(ids) // 2 - 2 for _, ids in own])))
+            of_id, of_end = scorer[0].log10(np.frombuffer(b"".join(ids[2:-2] for _, ids in own), LINE), where)
+            # a word without ids counts as one that training has not seen
+            bare = np.array([x for x, _ in own]) * (math.log10(0.1) - floor)
+            score.append(np.diff(np.concatenate(([0.0], np.cumsum(of_id)))[where]) + of_end + bare)
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n, "n_known": known[first[1:]] - known[first[:-1]] + int(count[0] > 0), "base_score": base, "score": np.concatenate(score)})
 
     return run
 
@@ -382,19 +529,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(shape.fold)) == 0
     rows = rows.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
     gathered = materialize(rows.groupBy("bucket").applyInArrow(_gather(tokenizer_path, shape), _GATHERED), "gathered")
-    by_word = Window.partitionBy("word")  # a row for each bucket that has the word
-    words = gathered.where("kind = 0").select("bucket", "word", F.sum("n").over(by_word).alias("total"), (F.min("bucket").over(by_word) == F.col("bucket")).alias("once"))
-    words = materialize(words, "words")
-    known = words.where("once AND total > 0").agg(F.sum("total"), F.count("*")).first()
+    words = gathered.where(f"kind = {WORD}").select("bucket", "word", "n")
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known = totals.where("n > 0").agg(F.sum("n"), F.count("*")).first()
     train_tokens, distinct = known[0] or 0, known[1] or 0
     counts = np.zeros(shape.vocabulary)
-    for r in gathered.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")).collect():  # vocabulary rows at most
+    for r in gathered.where(f"kind = {ID}").groupBy("word").agg(F.sum("n").alias("n")).collect():  # vocabulary rows at most
         counts[r["word"]] = r["n"]
-    classes = make_classes(counts, shape)
-    weights = train(gathered.where("kind = 2").select("ids"), classes, shape)
-    scored = rows.groupBy("bucket").cogroup(words.select("bucket", "word", "total").groupBy("bucket")).applyInArrow(_score(weights, classes, shape, tokenizer_path, train_tokens, distinct), _OUT.format(rows.schema["doc_id"].dataType.simpleString()))
+    model = train(gathered.where(f"kind = {TRAINED}").select("word", "ids"), counts, shape)
+    told = words.select("bucket", "word").join(totals, "word").select("bucket", "word", "n", F.lit(None).cast("binary").alias("ids"))
+    told = told.unionByName(gathered.where(f"kind >= {TRAINED}").select("bucket", "word", "n", "ids"))
+    scored = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_score(model, shape, train_tokens, distinct), _OUT.format(rows.schema["doc_id"].dataType.simpleString()))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every whole document, with counts and training from the documents that are not held out."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -117,6 +117,12 @@ def tokenizer(path: str | None = None) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget_words() -> None:
+    """Give back the memory of the words that the worker's tokenizers know."""
+    for own in _TOKENIZERS.values():
+        own.clear()
+
+
 class Packer:
     """Open sequences with their residuals."""
 
