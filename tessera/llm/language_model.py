@@ -12,12 +12,13 @@ a block and every subword is scored once, with at least a block of context where
 one.  A text's score is the sum over its subwords and its end: the model's alone, a
 distribution over ids at every place.
 
-Texts are tokenised once, in buckets: word counts, subword counts, and the line of subwords
-of every document.  Training runs on every line of the training documents, cut into
-windows that predict each subword once.  Lines are dealt to rounds; in a round tasks train
-from the same weights, and the mean of theirs, by what they saw, begins the next.
-Word counts, which the base score needs, go back to the buckets that hold the word, so no
-task or driver holds the corpus's vocabulary.
+Texts are tokenised once, in buckets that a task forms of its own rows: packets of the bucket's
+words with their counts, subword counts, and the line of subwords of every text.  Training
+runs on every line of the training texts, cut into windows that predict each subword
+once.  Lines are dealt to rounds; in a round tasks train from the same weights, and the
+mean of theirs, by what they saw, begins the next.  The base score needs the words' counts
+in all training texts: packets meet by their part of the hash space, and the totals go back
+to their buckets, so no task or driver holds the corpus's vocabulary.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import _BLOCKS, tree_sum
-from .packing import forget_words, split_marks, tokenizer
-from .shared import hash_words, materialize, small_batches, table, text_slices
+from .packing import forget_words, hashed_words
+from .shared import discard, hash_words, materialize, small_batches, table, text_slices
 
 
 class Shape(NamedTuple):
@@ -45,14 +46,14 @@ class Shape(NamedTuple):
     hidden: int = 16
     block: int = 16
     rounds: int = 2  # each line is in one of them
-    batch: int = 64  # windows
+    batch: int = 128  # windows
     least_steps: int = 300  # of a task in a round; it goes over its windows again until then
     rate: float = 0.02
     smoothing: float = 0.1  # of the ids in a class
     discount: float = 0.75  # of the counts of class bigrams
     end: int = 49407  # the id before and after a text
     vocabulary: int = 49408
-    bucket_bytes: int = 6 << 20  # text that a task holds at once
+    bucket_bytes: int = 12 << 20  # text that a task holds at once
     fold: int = 10  # ids whose crc32 modulo fold is 0 are held out
 
 
@@ -73,10 +74,10 @@ Weights = dict[str, np.ndarray]
 
 def make_classes(counts: np.ndarray, s: Shape) -> Classes:
     order = np.argsort(-counts, kind="stable")
-    of_id = np.empty(s.vocabulary, np.int32)
+    of_id = np.empty(s.vocabulary, np.intp)
     rank, single = np.arange(s.vocabulary), s.side**2 - s.shared
     # the rest by the logarithm of the rank, so that each class has about as much weight
-    rest = single + (np.log(np.maximum(rank - single, 0) + 1) / math.log(s.vocabulary) * s.shared).astype(np.int32)
+    rest = single + (np.log(np.maximum(rank - single, 0) + 1) / math.log(s.vocabulary) * s.shared).astype(np.intp)
     of_id[order] = np.where(rank < single, rank, np.minimum(rest, s.side**2 - 1))
     smooth = counts + s.smoothing
     total = np.bincount(of_id, smooth, minlength=s.side**2)
@@ -101,7 +102,7 @@ def arrange(classes: Classes, bigrams: np.ndarray, s: Shape) -> tuple[Classes, P
     basis = np.linalg.svd(profile.T @ (profile @ draw), full_matrices=False)[0][:, :24]
     features = profile.T @ (profile @ basis)
     features /= np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-9)
-    place = np.empty(k, np.int32)
+    place = np.empty(k, np.intp)
     place[np.concatenate(_halves(np.arange(k), features, s.side, s.side))] = np.arange(k)
     moved = np.empty_like(bigrams)
     moved[np.ix_(place, place)] = bigrams
@@ -153,16 +154,14 @@ def _exp_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """out[k]: the sum of the rows of values whose key, below 65536, is k."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    out[keys[start]] = np.add.reduceat(values[order], start, axis=0)
+    """out[k]: the sum of the rows of values whose key is k."""
+    width = values.shape[1]
+    np.add.at(out.reshape(-1), (keys[:, None] * width + np.arange(width, dtype=keys.dtype)).ravel(), values.ravel())
     return out
 
 
-def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarray, prior: Prior | None = None) -> tuple[float, Weights]:
-    """Mean negative log-likelihood of classes y after x (windows x length), and its gradient."""
+def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarray, prior: Prior | None = None, told: bool = True) -> tuple[float, Weights]:
+    """Mean negative log-likelihood of classes y after x (windows x length), 0 if it need not be told, and its gradient."""
     n, length = x.shape
     d, side, kind = w["q"].shape[0], w["row"].shape[1], w["e"].dtype
     size, flat_x, flat_y = n * length, x.ravel(), y.ravel()
@@ -196,7 +195,7 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarra
     twice, wanted = np.arange(2 * size), np.concatenate((row, flat_y - row * side))
     both = np.concatenate((share, share))
     total = _exp_sum(g)
-    loss = float((np.log(total[:, 0] / g[twice, wanted]) * both).sum())
+    loss = float((np.log(total[:, 0] / g[twice, wanted]) * both).sum()) if told else 0.0
     g *= both[:, None] / total
     g[twice, wanted] -= both
     gh = np.empty_like(h)
@@ -269,11 +268,11 @@ class Scorer:
         nth = np.arange(len(doc)) - base[doc]
         # tokens lie in rows of s.block, each text from a row's begin; the input is the end id and the text
         place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first)) + np.repeat(base[:-1] * s.block, np.diff(first))
-        target = np.full(len(doc) * s.block, s.end, np.int32)
+        target = np.full(len(doc) * s.block, s.end, np.int64)
         target[place] = ids
         begin = base[:-1] * s.block
         # a text has a place more than ids, so its inputs stay inside it
-        x = [np.full(len(target), s.side**2, np.int32) for _ in range(3)]
+        x = [np.full(len(target), s.side**2, np.intp) for _ in range(3)]
         x[0][:] = self.classes.of_id[s.end]
         x[0][place + 1] = self.classes.of_id[ids]
         for j in (1, 2):
@@ -315,67 +314,117 @@ class Scorer:
 END_WORD = -1
 
 
-def _word_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(signed word hashes of all texts, texts + 1 positions)."""
-    parts, first = [], [np.zeros(1, np.int64)]
-    total = 0
-    for _, _, buf, offsets in text_slices(text):
-        w = hash_words(buf, offsets, lower=True)
-        parts.append(w.hashes >> np.uint64(1))
-        first.append(w.first[1:] + total)
-        total += len(w.hashes)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.int64), np.concatenate(first)
-
-
 #: Ids of a text, its end before and after: the vocabulary is below 65536.
 LINE = "<u2"
-#: Kinds of rows: a word's count, an id's count, the line of a training text, the line of one held out.
-#: A line's word is the hash of its text, its n the number of words that have no ids.
-WORD, ID, TRAINED, HELD = range(4)
-_GATHERED = "kind int, bucket int, word long, n long, ids binary"
+#: Kinds of rows: a packet of a bucket's words, an id's count, the number of training texts, a training text, one held out.
+#: A packet's word is its part of the hash space; its ids hold the sorted words' hashes, then their counts in training texts.
+#: A text's word is its row in the bucket, n the number of its words that have no ids, ids its line, places the
+#: numbers of its words among the bucket's sorted ones.
+PACKET, ID, TRAINED, HELD, TEXTS = range(5)
+_GATHERED = "kind int, bucket long, word long, n long, words long, ids binary, places binary"
+
 
+def _packed(places: np.ndarray, distinct: int) -> np.ndarray:
+    """A row of 3 bytes, or 4 where 3 do not do, for each place."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if distinct < 1 << 24 else 4]
 
-def _text_key(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> 1
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        width = len(data) // n
+        out[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
+    return out.view("<u4")[:, 0]
+
+
+def _gather(path: str | None, s: Shape, parts: int = 1):
+    """The rows of one bucket: a table of text, held_out and bucket."""
 
-def _gather(path: str | None, s: Shape):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        bucket = group.column("bucket")[0].as_py()
         text, held = group.column("text").combine_chunks(), group.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
-        code, first = _word_codes(text)
-        words, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, np.repeat(~held, np.diff(first)), minlength=len(words)).astype(np.int64)
-        del code, at
-        own, total = tokenizer(path), np.zeros(s.vocabulary, np.int64)
-        lines: tuple = ([], [])
+        own, total = hashed_words(path), np.zeros(s.vocabulary, np.int64)
+        codes, number, bare, lines = [], [], [], []
         for i, j, buf, offsets in text_slices(text):
-            w = hash_words(buf, offsets, lower=False)
-            texts, cuts = split_marks(buf, offsets)
-            ids, where, size = own.encode(texts)
-            # a word's units: one more than the cuts inside it; a unit's ids: size
-            units = np.searchsorted(cuts, w.end) - np.searchsorted(cuts, w.start, "right") + 1
-            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(units)] if len(units) else np.zeros(0, np.int64)
-            bare = np.bincount(np.repeat(np.arange(j - i), np.diff(w.first)), np.diff(ends, prepend=0) == 0, minlength=j - i).astype(np.int64)
-            data = buf.tobytes()
-            for k in range(j - i):
-                own_ids = ids[where[k] : where[k + 1]]
-                line = np.concatenate(([s.end], own_ids, [s.end])).astype(LINE)
-                lines[int(held[i + k])].append((_text_key(data[offsets[k] : offsets[k + 1]]), int(bare[k]), line.tobytes()))
+            w = hash_words(buf, offsets, lower=True)
+            if b"<|" in buf.tobytes():  # special tokens keep their case
+                ids, where, size = own.encode(hash_words(buf, offsets, lower=False))
+            else:
+                ids, where, size = own.encode(w)
+            codes.append((w.hashes >> np.uint64(1)).astype(np.int64))
+            number.append(np.diff(w.first))
+            bare.append(np.bincount(np.repeat(np.arange(j - i), number[-1]), size == 0, minlength=j - i))
             total += np.bincount(ids[np.repeat(~held[i:j], np.diff(where))], minlength=s.vocabulary)
-            total[s.end] += int((~held[i:j]).sum())
+            line = np.full(len(ids) + 2 * (j - i), s.end, LINE)
+            edge = where + 2 * np.arange(j - i + 1)
+            line[np.arange(len(ids)) + np.repeat(edge[:-1] - where[:-1], np.diff(where)) + 1] = ids
+            data, edge = line.tobytes(), (2 * edge).tolist()
+            lines += [data[a:z] for a, z in zip(edge[:-1], edge[1:], strict=True)]
+        total[s.end] += int((~held).sum())
+        number = np.concatenate((*number, np.zeros(0, np.int64)))
+        words, at = np.unique(np.concatenate((*codes, np.zeros(0, np.int64))), return_inverse=True)
+        n = np.bincount(at, np.repeat(~held, number), minlength=len(words)).astype("<u4")
+        cut = np.concatenate(([0], np.searchsorted(words, np.array([k * (1 << 63) // parts for k in range(1, parts)], np.int64)), [len(words)]))
+        full = np.flatnonzero(np.diff(cut))
+        places, first = _packed(at, len(words)), np.concatenate(([0], np.cumsum(number)))
         seen = np.flatnonzero(total)
-        parts = [
-            (WORD, np.append(words, END_WORD), np.append(n, int((~held).sum())), None),
-            (ID, seen, total[seen], None),
-            *((kind, np.array([x[0] for x in some], np.int64), np.array([x[1] for x in some], np.int64), [x[2] for x in some]) for kind, some in zip((TRAINED, HELD), lines, strict=True)),
-        ]
-        return pa.concat_tables([pa.table({"kind": pa.array(np.full(len(w), kind, np.int32)), "bucket": pa.array(np.full(len(w), bucket, np.int32)), "word": pa.array(w, pa.int64()), "n": pa.array(c, pa.int64()), "ids": pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(w), pa.binary())}) for kind, w, c, ids in parts])
+
+        def rows(kind, word, n, words_=None, ids=None, places=None) -> pa.Table:
+            size = len(word)
+            none = pa.nulls(size, pa.binary())
+            return pa.table({"kind": pa.array(np.broadcast_to(kind, size), pa.int32()), "bucket": pa.array(np.full(size, group.column("bucket")[0].as_py()), pa.int64()), "word": pa.array(word, pa.int64()), "n": pa.array(n, pa.int64()), "words": pa.array(words_ if words_ is not None else np.zeros(size, np.int64), pa.int64()), "ids": pa.array(ids, pa.binary()) if ids is not None else none, "places": pa.array(places, pa.binary()) if places is not None else none})
+
+        return pa.concat_tables([
+            rows(PACKET, full, np.diff(cut)[full], ids=[words[a:z].astype("<i8").tobytes() + n[a:z].tobytes() for a, z in zip(cut[full].tolist(), cut[full + 1].tolist(), strict=True)]),
+            rows(ID, seen, total[seen]),
+            rows(TEXTS, np.zeros(1, np.int64), np.array([(~held).sum()])),
+            rows(np.where(held, HELD, TRAINED), np.arange(len(held)), np.concatenate((*bare, np.zeros(0))).astype(np.int64), number, lines, [places[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]),
+        ])
 
     return run
 
 
+def _buckets(path: str | None, s: Shape, parts: int):
+    """Buckets of about bucket_bytes of text from a task's rows (doc_id, text, held_out)."""
+
+    def run(batches):
+        gather, some, held, bucket = _gather(path, s, parts), [], 0, TaskContext.get().partitionId() << 32
+
+        def told() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(some)
+            out = gather(group.append_column("bucket", pa.array(np.full(len(group), bucket), pa.int64())))
+            texts = pc.is_in(out.column("kind"), pa.array([TRAINED, HELD], pa.int32()))
+            at = pc.if_else(texts, out.column("word"), pa.scalar(None, pa.int64()))
+            yield from out.append_column("doc_id", group.column("doc_id").combine_chunks().take(at.combine_chunks())).to_batches(1000)
+
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+                held += batch.column(1).nbytes
+            if held >= s.bucket_bytes:
+                yield from told()
+                some, held, bucket = [], 0, bucket + 1
+        if some:
+            yield from told()
+
+    return run
+
+
+def _totals(group: pa.Table) -> pa.Table:
+    """The words of one part, from all buckets: each packet's words' counts in all training texts."""
+    data = [x.as_buffer() for x in group.column("ids").combine_chunks()]
+    size = [x.size // 12 for x in data]
+    words = np.concatenate([np.frombuffer(x, "<i8", k) for x, k in zip(data, size, strict=True)])
+    counts = np.concatenate([np.frombuffer(x, "<u4", k, 8 * k) for x, k in zip(data, size, strict=True)])
+    words, at = np.unique(words, return_inverse=True)
+    total = np.bincount(at, counts, minlength=len(words)).astype(np.int64)
+    out = total[at].astype("<u4" if total.max() < 1 << 32 else "<u8")
+    edge = np.concatenate(([0], np.cumsum(size))).tolist()
+    once = np.zeros(len(size), np.int64)
+    once[0] = 1
+    return pa.table({"bucket": group.column("bucket"), "part": group.column("word"), "n": pa.array(size, pa.int64()), "totals": pa.array([out[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), "tokens": once * total.sum(), "distinct": once * np.count_nonzero(total)})
+
+
 def cut_windows(lines: list[bytes], s: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(windows x 2 * block + 1 ids, which of all but the first are the line's) of all lines; a window begins with the id that the one before it ends with."""
     ids, size, step = np.frombuffer(b"".join(lines), LINE), np.array([len(x) // 2 for x in lines], np.int64), 2 * s.block
@@ -438,7 +487,7 @@ def _train(weights: Weights, classes: Classes, prior: Prior, s: Shape, rate: flo
 
         def step(ids: np.ndarray, valid: np.ndarray) -> None:
             x = classes.of_id[ids]
-            adam.step(loss_and_gradient(adam.w, np.ascontiguousarray(x[:, :-1]), np.ascontiguousarray(x[:, 1:]), valid.astype(np.float32), prior)[1])
+            adam.step(loss_and_gradient(adam.w, np.ascontiguousarray(x[:, :-1]), np.ascontiguousarray(x[:, 1:]), valid.astype(np.float32), prior, False)[1])
 
         for lines in _portions(batches, s):
             ids, valid = cut_windows(lines, s)
@@ -461,13 +510,13 @@ def _train(weights: Weights, classes: Classes, prior: Prior, s: Shape, rate: flo
 
 
 def train(lines: DataFrame, counts: np.ndarray, s: Shape) -> tuple[Weights, Classes, Prior]:
-    """The model of lines (word, ids), given the counts of ids."""
+    """The model of lines (bucket, word, ids), given the counts of ids."""
     k, classes = s.side**2, make_classes(counts, s)
     parts = tree_sum(lines.select("ids").mapInArrow(_bigrams(classes, s), _SUMS))
     classes, prior = arrange(classes, np.concatenate(parts).reshape(k, k) if parts else np.zeros((k, k)), s)
     weights = first_weights(s)
     for r in range(s.rounds):
-        own = lines.where(F.pmod(F.xxhash64("word"), F.lit(s.rounds)) == r).select("ids")
+        own = lines.where(F.pmod(F.xxhash64("bucket", "word"), F.lit(s.rounds)) == r).select("ids")
         parts = tree_sum(own.mapInArrow(_train(weights, classes, prior, s, s.rate / (1 + r)), _SUMS))
         if parts:
             flat = np.concatenate(parts)
@@ -475,40 +524,44 @@ def train(lines: DataFrame, counts: np.ndarray, s: Shape) -> tuple[Weights, Clas
     return weights, classes, prior
 
 
-_OUT = "doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _score(model: tuple[Weights, Classes, Prior], s: Shape, bare: float):
+    """(bucket, word, score) of rows (bucket, word, n, ids); bare: log10 of the share of a word without ids."""
 
+    def run(batches):
+        forget_words()
+        scorer = Scorer(*model, s)
+        for batch in batches:
+            line, n = batch.column(3).to_pylist(), batch.column(2).to_numpy()
+            size = np.array([len(x) // 2 - 2 for x in line], np.int64)
+            score = [np.zeros(0)]
+            # about as many ids at once as a slice of text has
+            group = np.cumsum(size) // (CUT_BYTES // 2)
+            for some in np.split(np.arange(len(line)), np.flatnonzero(np.diff(group)) + 1) if len(line) else ():
+                where = np.concatenate(([0], np.cumsum(size[some])))
+                of_id, of_end = scorer.log10(np.frombuffer(b"".join(line[k][2:-2] for k in some), LINE), where)
+                score.append(np.diff(np.concatenate(([0.0], np.cumsum(of_id)))[where]) + of_end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(score) + n * bare)], ["bucket", "word", "score"])
 
-def _score(model: tuple[Weights, Classes, Prior], s: Shape, total: int, distinct: int):
-    scorer: list[Scorer] = []
+    return run
+
+
+_BASE = "doc_id {}, bucket long, word long, held_out boolean, n_tokens long, n_known long, base_score double"
+
+
+def _base(train_tokens: int, distinct: int, texts: int):
+    """The counts and the base score of a bucket's texts; told: the totals of its words."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not scorer:
-            scorer.append(Scorer(*model, s))
-        docs, told = docs.combine_chunks(), told.combine_chunks()
-        text = docs.column("text").combine_chunks()
-        code, first = _word_codes(text)
-        line = ~told.column("ids").is_null().to_numpy()
-        word, count = (told.column(c).to_numpy()[~line] for c in ("word", "n"))
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        seen, at = np.unique(code, return_inverse=True)
-        c = count[np.searchsorted(word, seen)][at] if len(seen) else np.zeros(0, np.int64)
-        floor = math.log10(total + 0.1 * (distinct + 1))
-        log_end = math.log10(count[0] + 0.1) - floor  # END_WORD is the smallest
-        known, plain = (np.concatenate(([0], np.cumsum(x))) for x in (c > 0, np.log10(c + 0.1) - floor))
-        n, base = np.diff(first) + 1, np.diff(plain[first]) + log_end
-        del code, seen, at, c, plain
-        lines = {key: (bare, ids) for key, bare, ids in zip(*(told.column(x).filter(pa.array(line)).to_pylist() for x in ("word", "n", "ids")), strict=True)}
-        score = [np.zeros(0)]
-        for i, j, buf, offsets in text_slices(text):
-            data = buf.tobytes()
-            own = [lines[_text_key(data[a:z])] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            where = np.concatenate(([0], np.cumsum([len(ids) // 2 - 2 for _, ids in own])))
-            of_id, of_end = scorer[0].log10(np.frombuffer(b"".join(ids[2:-2] for _, ids in own), LINE), where)
-            # a word without ids counts as one that training has not seen
-            bare = np.array([x for x, _ in own]) * (math.log10(0.1) - floor)
-            score.append(np.diff(np.concatenate(([0.0], np.cumsum(of_id)))[where]) + of_end + bare)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n, "n_known": known[first[1:]] - known[first[:-1]] + int(count[0] > 0), "base_score": base, "score": np.concatenate(score)})
+        told = told.sort_by("part").combine_chunks()
+        totals = np.concatenate((np.zeros(0, np.int64), *(np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8") for x, n in zip(told.column("totals").to_pylist(), told.column("n").to_pylist(), strict=True))))
+        floor = math.log10(train_tokens + 0.1 * (distinct + 1))
+        log, known = np.log10(totals + 0.1) - floor, totals > 0
+        number = docs.column("words").to_numpy()
+        places = [_unpacked(x, n) for x, n in zip(docs.column("places").to_pylist(), number.tolist(), strict=True)]
+        return pa.table({
+            "doc_id": docs.column("doc_id"), "bucket": docs.column("bucket"), "word": docs.column("word"), "held_out": np.equal(docs.column("kind").to_numpy(), HELD), "n_tokens": number + 1,
+            "n_known": np.array([int(known[x].sum()) for x in places], np.int64) + int(texts > 0), "base_score": np.array([log[x].sum() for x in places]) + math.log10(texts + 0.1) - floor,
+        })
 
     return run
 
@@ -521,26 +574,28 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored; no rows give no rows; where every id is held out all counts are 0 and the
     model is the untrained one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
-    buckets = max(1, -(-total // shape.bucket_bytes))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(shape.fold)) == 0
-    rows = rows.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
-    gathered = materialize(rows.groupBy("bucket").applyInArrow(_gather(tokenizer_path, shape), _GATHERED), "gathered")
-    words = gathered.where(f"kind = {WORD}").select("bucket", "word", "n")
-    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    known = totals.where("n > 0").agg(F.sum("n"), F.count("*")).first()
-    train_tokens, distinct = known[0] or 0, known[1] or 0
+    parts = max(1, -(-total // (4 * shape.bucket_bytes)))
+    gathered = materialize(rows.select("doc_id", "text", held.alias("held_out")).mapInArrow(_buckets(tokenizer_path, shape, parts), f"{_GATHERED}, doc_id {kind}"), "gathered", "kind")
+    packets = gathered.where(F.col("kind") == PACKET).select("bucket", "word", "ids")
+    totals = materialize(packets.groupBy("word").applyInArrow(_totals, "bucket long, part long, n long, totals binary, tokens long, distinct long"), "totals")
+    discard(gathered, part=f"kind={PACKET}")
+    tokens, distinct = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("distinct")).first())
+    texts = gathered.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
+    train_tokens, distinct = tokens + texts, distinct + int(texts > 0)
     counts = np.zeros(shape.vocabulary)
-    for r in gathered.where(f"kind = {ID}").groupBy("word").agg(F.sum("n").alias("n")).collect():  # vocabulary rows at most
+    for r in gathered.where(F.col("kind") == ID).groupBy("word").agg(F.sum("n").alias("n")).collect():  # vocabulary rows at most
         counts[r["word"]] = r["n"]
-    model = train(gathered.where(f"kind = {TRAINED}").select("word", "ids"), counts, shape)
-    told = words.select("bucket", "word").join(totals, "word").select("bucket", "word", "n", F.lit(None).cast("binary").alias("ids"))
-    told = told.unionByName(gathered.where(f"kind >= {TRAINED}").select("bucket", "word", "n", "ids"))
-    scored = rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_score(model, shape, train_tokens, distinct), _OUT.format(rows.schema["doc_id"].dataType.simpleString()))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model = train(gathered.where(F.col("kind") == TRAINED).select("bucket", "word", "ids"), counts, shape)
+    own = gathered.where(F.col("kind").isin(TRAINED, HELD))
+    base = own.select("doc_id", "bucket", "word", "kind", "words", "places").groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_base(train_tokens, distinct, texts), _BASE.format(kind))
+    bare = math.log10(0.1) - math.log10(train_tokens + 0.1 * (distinct + 1))  # of a word that training has not seen
+    scores = own.select("bucket", "word", "n", "ids").mapInArrow(_score(model, shape, bare), "bucket long, word long, score double")
+    return base.join(scores, ["bucket", "word"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -46,11 +47,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: a lost executor costs no recomputation."""
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as a table in the shared folder, in folders by the columns given, and read it again: a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that materialize wrote, or the folder part of them, and let Spark's cleaner delete the shuffle files of what is over."""
+    for df in tables:
+        spark, path = df.sparkSession, _STORED[df] if part else _STORED.pop(df)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        spark._jvm.System.gc()  # the cleaner acts on what the driver no longer refers to
 
 
 def small_batches(spark: SparkSession) -> None:
