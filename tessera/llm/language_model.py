@@ -2,7 +2,7 @@
 
 The model reads subword ids.  The most frequent ids are classes of their own, the rest
 share classes by rank; classes lie in a square, of which a row holds classes that follow
-the same ones.  The hidden state of a place joins the embeddings of the last three
+the same ones.  The hidden state of a place joins the embeddings of the last two
 subwords and what one attention layer gathers from the window; it gives the row of the
 next class, then its column, and corpus counts give the id within its class.  The two
 output layers start from the corpus's class bigrams, counted over every training subword.
@@ -23,6 +23,7 @@ to their buckets, so no task or driver holds the corpus's vocabulary.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -53,7 +54,7 @@ class Shape(NamedTuple):
     discount: float = 0.75  # of the counts of class bigrams
     end: int = 49407  # the id before and after a text
     vocabulary: int = 49408
-    bucket_bytes: int = 12 << 20  # text that a task holds at once
+    bucket_bytes: int = 8 << 20  # text that a task holds at once
     fold: int = 10  # ids whose crc32 modulo fold is 0 are held out
 
 
@@ -121,8 +122,8 @@ def first_weights(s: Shape, seed: int = 11) -> Weights:
     k, d, m = s.side, s.width, s.hidden
     normal = lambda scale, *size: (rng.standard_normal(size) * scale).astype(np.float32)
     deep = 1 / math.sqrt(d)
-    # a: embeddings of the place, of the one and the two before it, and what attention gathers
-    return {"e": normal(0.5, k * k, d), "q": normal(deep, d, d), "k": normal(deep, d, d), "v": normal(deep, d, d), "far": np.zeros(2 * s.block, np.float32), "a": normal(deep / 4, 4 * d, m), "c": np.zeros(m, np.float32), "row": np.zeros((m, k), np.float32), "given_row": np.zeros((k, m), np.float32), "col": normal(0.1 / math.sqrt(m), m, k)}
+    # a: embeddings of the place and of the one before it, and what attention gathers
+    return {"e": normal(0.5, k * k, d), "q": normal(deep, d, d), "k": normal(deep, d, d), "v": normal(deep, d, d), "far": np.zeros(2 * s.block, np.float32), "a": normal(deep / 4, 3 * d, m), "c": np.zeros(m, np.float32), "row": np.zeros((m, k), np.float32), "given_row": np.zeros((k, m), np.float32), "col": normal(0.1 / math.sqrt(m), m, k)}
 
 
 def pack_weights(w: Weights) -> np.ndarray:
@@ -160,6 +161,11 @@ def _sum_by(keys: np.ndarray, values: np.ndarray, out: np.ndarray) -> np.ndarray
     return out
 
 
+@functools.lru_cache(8)
+def _row_begins(rows: int, width: int) -> np.ndarray:
+    return np.arange(rows) * width
+
+
 def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarray, prior: Prior | None = None, told: bool = True) -> tuple[float, Weights]:
     """Mean negative log-likelihood of classes y after x (windows x length), 0 if it need not be told, and its gradient."""
     n, length = x.shape
@@ -172,13 +178,13 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarra
     att += _causal(w["far"], length, length)
     att /= _exp_sum(att)
     o = att @ v
-    given = np.zeros((n, length, 4 * d), kind)
+    given = np.empty((n, length, 3 * d), kind)
     given[:, :, :d] = e.reshape(n, length, d)
     given[:, 1:, d : 2 * d] = given[:, :-1, :d]
-    given[:, 2:, 2 * d : 3 * d] = given[:, :-2, :d]
-    given[:, :, 3 * d :] = o
-    given = given.reshape(size, 4 * d)
-    row, at = flat_y // side, np.arange(size)
+    given[:, 0, d : 2 * d] = 0
+    given[:, :, 2 * d :] = o
+    given = given.reshape(size, 3 * d)
+    row, begin = flat_y // side, _row_begins(2 * size, side)
     share = (valid / max(1.0, float(valid.sum()))).astype(kind).ravel()
     # the states of the row above those of the column
     h = np.empty((2 * size, w["row"].shape[0]), kind)
@@ -192,25 +198,26 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarra
     if prior is not None:
         g[:size] += np.take(prior.row, flat_x, 0)
         g[size:] += np.take(prior.col, flat_x * side + row, 0)
-    twice, wanted = np.arange(2 * size), np.concatenate((row, flat_y - row * side))
-    both = np.concatenate((share, share))
+    wanted, both, cells = begin.copy(), np.concatenate((share, share)), g.reshape(-1)
+    wanted[:size] += row
+    wanted[size:] += flat_y
+    wanted[size:] -= row * side
     total = _exp_sum(g)
-    loss = float((np.log(total[:, 0] / g[twice, wanted]) * both).sum()) if told else 0.0
+    loss = float((np.log(total[:, 0] / cells[wanted]) * both).sum()) if told else 0.0
     g *= both[:, None] / total
-    g[twice, wanted] -= both
+    cells[wanted] -= both
     gh = np.empty_like(h)
     np.matmul(g[:size], w["row"].T, out=gh[:size])
     np.matmul(g[size:], w["col"].T, out=gh[size:])
     gh *= r > 0
     hot = np.zeros((size, side), kind)
-    hot[at, row] = 1
+    hot.reshape(-1)[wanted[:size]] = 1
     out: Weights = {"row": r[:size].T @ g[:size], "col": r[size:].T @ g[size:], "given_row": hot.T @ gh[size:]}
     gh = gh[:size] + gh[size:]
     out["a"], out["c"] = given.T @ gh, np.ones(size, kind) @ gh
-    back = (gh @ w["a"].T).reshape(n, length, 4 * d)
-    ge, go = back[:, :, :d].copy(), back[:, :, 3 * d :].copy()
+    back = (gh @ w["a"].T).reshape(n, length, 3 * d)
+    ge, go = back[:, :, :d].copy(), back[:, :, 2 * d :].copy()
     ge[:, :-1] += back[:, 1:, d : 2 * d]
-    ge[:, :-2] += back[:, 2:, 2 * d : 3 * d]
     gv = att.transpose(0, 2, 1) @ go
     gs = go @ v.transpose(0, 2, 1)
     gs -= ((go * o).reshape(size, d) @ np.ones((d, 1), kind)).reshape(n, length, 1)
@@ -251,12 +258,10 @@ class Scorer:
         self.s, self.classes, self.w, self.prior, d = s, classes, w, prior, s.width
         e = np.concatenate((w["e"], np.zeros((1, d), np.float32)))  # nothing stands before a text's first place
         self.q, self.k, self.v = e @ w["q"] / np.float32(math.sqrt(d)), e @ w["k"], e @ w["v"]
-        self.a = [e @ w["a"][j * d : (j + 1) * d] for j in range(3)]
+        self.a = [e @ w["a"][j * d : (j + 1) * d] for j in range(2)]
         self.a[0] += w["c"]
-        self.out = w["a"][3 * d :]
+        self.out = w["a"][2 * d :]
         self.bias = _causal(w["far"], s.block, 2 * s.block)
-        self.alone = self.bias.copy()
-        self.alone[:, : s.block] = -np.inf  # there is no block before the first
 
     def log10(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of the ids of texts, ids[first[k]:first[k + 1]], and of each text's end."""
@@ -272,32 +277,38 @@ class Scorer:
         target[place] = ids
         begin = base[:-1] * s.block
         # a text has a place more than ids, so its inputs stay inside it
-        x = [np.full(len(target), s.side**2, np.intp) for _ in range(3)]
+        x = [np.full(len(target), s.side**2, np.intp) for _ in range(2)]
         x[0][:] = self.classes.of_id[s.end]
         x[0][place + 1] = self.classes.of_id[ids]
-        for j in (1, 2):
-            x[j][j:] = x[0][:-j]
-            for k in range(j):
-                x[j][begin + k] = s.side**2
-        y = self.classes.of_id[target]
+        x[1][1:] = x[0][:-1]
+        x[1][begin] = s.side**2
+        row, col = np.divmod(self.classes.of_id[target], s.side)
         got = np.empty(len(target), np.float32)
-        blocks = x[0].reshape(-1, s.block)
-        for a in range(0, len(doc), 128):
-            z = min(a + 128, len(doc))
-            some = slice(a * s.block, z * s.block)
-            seen = np.concatenate((blocks[np.maximum(np.arange(a, z) - 1, 0)], blocks[a:z]), 1)
-            att = np.take(self.q, blocks[a:z], 0) @ np.take(self.k, seen, 0).transpose(0, 2, 1)
-            att += np.where((nth[a:z] == 0)[:, None, None], self.alone, self.bias)
+        blocks, chunk = x[0].reshape(-1, s.block), 192
+        seen = np.empty((chunk, 2 * s.block, s.width), np.float32)
+        for a in range(0, len(doc), chunk):
+            z = min(a + chunk, len(doc))
+            some, n = slice(a * s.block, z * s.block), z - a
+            before = np.maximum(np.arange(a, z) - 1, 0)
+
+            def window(of_class: np.ndarray) -> np.ndarray:
+                seen[:n, : s.block] = np.take(of_class, blocks[before], 0)
+                seen[:n, s.block :] = np.take(of_class, blocks[a:z], 0)
+                return seen[:n]
+
+            att = np.take(self.q, blocks[a:z], 0) @ window(self.k).transpose(0, 2, 1)
+            att += self.bias
+            att[nth[a:z] == 0, :, : s.block] = -np.inf  # there is no block before the first
             total = _exp_sum(att)
-            o = att @ np.take(self.v, seen, 0)
+            o = att @ window(self.v)
             o /= total
             h = o.reshape(-1, s.width) @ self.out
-            for table_, at in zip(self.a, x, strict=True):
-                h += np.take(table_, at[some], 0)
-            now, (row, col) = x[0][some], np.divmod(y[some], s.side)
-            got[some] = self._log(np.maximum(h, 0) @ self.w["row"], np.take(self.prior.row, now, 0), row)
-            h += np.take(self.w["given_row"], row, 0)
-            got[some] += self._log(np.maximum(h, 0) @ self.w["col"], np.take(self.prior.col, now * s.side + row, 0), col)
+            for of_class, at in zip(self.a, x, strict=True):
+                h += np.take(of_class, at[some], 0)
+            now, r = x[0][some], row[some]
+            got[some] = self._log(np.maximum(h, 0) @ self.w["row"], np.take(self.prior.row, now, 0), r)
+            h += np.take(self.w["given_row"], r, 0)
+            got[some] += self._log(np.maximum(h, 0, out=h) @ self.w["col"], np.take(self.prior.col, now * s.side + r, 0), col[some])
         out = got / math.log(10) + self.classes.log_share[target]
         return out[place], out[begin + size - 1]
 

@@ -153,16 +153,17 @@ class HashedWords:
         start, end = np.sort(np.concatenate((w.start, cuts))), np.sort(np.concatenate((w.end, cuts)))
         hashes = w.spans(start, end) | np.uint64(1)  # no hash is 0
         at = self._find(hashes)
-        new, place = np.unique(hashes[at < 0], return_index=True)
+        missing = np.flatnonzero(at < 0)
+        new, place, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
         if len(new):
-            place = np.flatnonzero(at < 0)[place]
+            place = missing[place]
             texts = [data[a:z].decode() for a, z in zip(start[place].tolist(), end[place].tolist(), strict=True)]
             base = len(self.first) - 1
             for e in self.own.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 self.ids.extend(e.ids)
                 self.first.append(len(self.ids))
             self._add(new, np.arange(base, base + len(new), dtype=np.int32))
-            at = np.where(at < 0, base + np.searchsorted(new, hashes), at)
+            at[missing] = base + which
         ids, first = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64)
         size = first[at + 1] - first[at]
         ends = np.cumsum(size)
