@@ -114,6 +114,9 @@ class HashedWords:
 
     def __init__(self, own: WordTokenizer):
         self.own, self.keys = own, None
+        # words are tokenised in long rows, parted by a token that stands only for itself
+        marks = [(t.content, i) for i, t in own.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = marks[-1] if marks else None
 
     def clear(self) -> None:
         self.keys = None
@@ -159,9 +162,17 @@ class HashedWords:
             place = missing[place]
             texts = [data[a:z].decode() for a, z in zip(start[place].tolist(), end[place].tolist(), strict=True)]
             base = len(self.first) - 1
-            for e in self.own.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                self.ids.extend(e.ids)
-                self.first.append(len(self.ids))
+            if self.mark and b"<|" not in data:
+                mark, number = self.mark
+                for k in range(0, len(texts), 500):
+                    got = np.array(self.own.tokenizer.encode(mark.join(texts[k : k + 500]) + mark, add_special_tokens=False).ids, np.uint32)
+                    end = np.flatnonzero(got == number)
+                    self.first.extend((len(self.ids) + end - np.arange(len(end))).tolist())
+                    self.ids.frombytes(got[got != number].tobytes())
+            else:
+                for e in self.own.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                    self.ids.extend(e.ids)
+                    self.first.append(len(self.ids))
             self._add(new, np.arange(base, base + len(new), dtype=np.int32))
             at[missing] = base + which
         ids, first = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64)
