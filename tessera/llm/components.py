@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,13 +13,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that links reach.
 
     Nodes are longs.  Null ends, self loops and repeated edges are ignored; no
     edges give no rows.  A round moves each neighbour to the smallest one known,
     so a chain of n nodes takes about log2(n) rounds; every round is written to
-    the shared folder, which cuts the lineage.
+    the shared folder, which cuts the lineage, and deleted when the next one stands.
+    More rounds than max_rounds raise an error.
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     stars = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -30,9 +31,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*").where("a <> b").distinct()
-        stars = materialize(small, "edges")
+        stars, old = materialize(small, "edges"), stars
+        discard(old)
         after = _state(stars)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

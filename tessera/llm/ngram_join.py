@@ -18,7 +18,7 @@ join finds each pair whose sets overlap by ``similarity``, and loses none:
   worked out anew.  Then come the other pivots of members that are still apart, and what
   is apart after them is held against its whole tile, in blocks of bounded size.  So a
   group of near copies costs rows in proportion to its size.
-* Inside a tile, 512-bit parity bitmaps bound the overlap from above; pairs that
+* Inside a tile, parity bitmaps of 512 bits or more bound the overlap from above; pairs that
   pass get an exact intersection of their sorted arrays.
 
 Equal sets are one node throughout (classes); copies are never paired.  Sets are
@@ -39,15 +39,18 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .decontaminate import tree_sum
-from .shared import hash_words, materialize, mix, small_batches, table, text_slices
+from .shared import discard, hash_words, materialize, mix, small_batches, table, text_slices
 
-BITS = 512
-#: Rows of a tile's group beside its pivot, and of a block.
-GROUP = 128
+#: Bits of a bitmap, at least; sets of more shingles than half of that get more, up to the most.
+BITS, MOST_BITS = 512, 1 << 16
+#: Rows of a tile's group beside its pivot, and of a block, at most; and shingles of such rows.
+GROUP, GROUP_SHINGLES = 1024, 1 << 20
 #: Counters of the sketch, and how far over the mean a frequent shingle's counter is.
 SKETCH, FREQUENT = 1 << 18, 1.5
 #: Members that the rest of a large tile is held against in a round, and rounds.
 SUBPIVOTS, ROUNDS = 32, 2
+#: Loose members from which on a tile is large.
+LARGE = 64
 
 _STEP = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3], np.uint64)
 
@@ -115,12 +118,11 @@ def part_keys(s: np.ndarray, similarity: Fraction, frequent: np.ndarray) -> np.n
     return (np.concatenate(out) >> np.uint64(1)).astype(np.int64)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BITS / 64 words for each set: bit h holds the parity of the shingles that fall on it."""
-    words = BITS // 64
-    out = np.zeros((len(sets), words), np.uint64)
+def bitmaps(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """A row of bits / 64 words for each set: bit h holds the parity of the shingles that fall on it."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
     for k, s in enumerate(sets):
-        odd = np.flatnonzero(np.bincount((s >> np.uint64(7)) % np.uint64(BITS), minlength=BITS) & 1)
+        odd = np.flatnonzero(np.bincount((s >> np.uint64(7)) % np.uint64(bits), minlength=bits) & 1)
         np.bitwise_or.at(out[k], odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
     return out
 
@@ -143,7 +145,8 @@ def links_across(left: list[np.ndarray], right: list[np.ndarray], similarity: Fr
     if not left or not right:
         return []
     n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    a, b, out = bitmaps(left), bitmaps(right), []
+    bits = min(MOST_BITS, max(BITS, 2 << int(max(n.max(), m.max())).bit_length()))
+    a, b, out = bitmaps(left, bits), bitmaps(right, bits), []
     for i in range(len(left)):
         both = n[i] + m
         bound = (both - np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64)) // 2
@@ -254,10 +257,15 @@ def _inside_tile(similarity: Fraction):
     return run
 
 
+def _rows():
+    """Rows of a group of a tile, by its largest set."""
+    return F.greatest(F.lit(8), F.least(F.lit(GROUP), F.floor(F.lit(GROUP_SHINGLES) / F.col("largest"))))
+
+
 def _linked_to_pivot(pairs: DataFrame, arrays: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links (a, b) of those pairs (pivot, member) that are similar, in groups of a pivot and about GROUP members."""
-    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
-    wide = pairs.join(sizes, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).alias("salt"))
+    """Links (a, b) of those pairs (pivot, member, size) that are similar, in groups of a pivot and members of bounded size."""
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"), F.max("size").alias("largest"))
+    wide = pairs.join(sizes, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / _rows())).alias("salt"))
     rows = wide.union(wide.select("pivot", F.col("pivot").alias("member"), "salt").distinct())
     rows = rows.join(arrays, rows.member == arrays.set_id).select("pivot", "salt", "member", "shingles")
     held = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt").mapInArrow(_against_pivot(similarity), "pivot long, member long, linked boolean")
@@ -265,14 +273,14 @@ def _linked_to_pivot(pairs: DataFrame, arrays: DataFrame, similarity: Fraction)
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, sizes, stars): each tile's members with their component and whether it is not the pivot's; n and loose of tiles with such members; the links, shortened."""
+    """(members, sizes, stars): each tile's members with their component and whether it is not the pivot's; of tiles with such members n, loose and the rows of a group; the links, shortened."""
     found = connected_components(links)
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    members = pairs.select("pivot", "member").join(of("member"), "member", "left").join(of("pivot"), "pivot", "left")
+    members = pairs.join(of("member"), "member", "left").join(of("pivot"), "pivot", "left")
     component = F.coalesce("member_in", "member")
-    members = materialize(members.select("pivot", "member", component.alias("component"), (component != F.coalesce("pivot_in", "pivot")).alias("apart")), "members")
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("loose")).where("loose > 0 AND n > 1")
-    return members, materialize(sizes, "sizes"), found.where("node <> component").toDF("a", "b")
+    members = materialize(members.select("pivot", "member", "size", component.alias("component"), (component != F.coalesce("pivot_in", "pivot")).alias("apart")), "members")
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("loose"), F.max("size").alias("largest")).where("loose > 0 AND n > 1")
+    return members, materialize(sizes.select("pivot", "n", "loose", _rows().alias("rows")), "sizes"), found.where("node <> component").toDF("a", "b")
 
 
 def _blocks_of(left: DataFrame, right: DataFrame, arrays: DataFrame, similarity: Fraction) -> DataFrame:
@@ -295,29 +303,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, s = docs.sparkSession, Fraction(similarity)
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = materialize(texts.mapInArrow(_describe(width, s, frequent_counters(texts, width)), "doc_id long, n_shingles long, set_id long, keys array<long>"), "sets")
+    described = materialize(texts.mapInArrow(_describe(width, s, frequent_counters(texts, width)), "doc_id long, n_shingles long, set_id long, keys array<long>"), "described")
+    told = materialize(described.select("doc_id", "n_shingles", "set_id"), "sets")
     classes = told.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
 
-    sent = told.where("keys IS NOT NULL").select("set_id", F.explode("keys").alias("key"))
+    sent = described.where("keys IS NOT NULL").select("set_id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     # the first row of each key, sorted by set, is the pivot
     sent.createOrReplaceTempView(view := f"sent_{id(told)}")
-    near = spark.sql(f"SELECT set_id AS member, first(set_id) OVER (PARTITION BY key ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pivot FROM {view}").where("member <> pivot").distinct()
+    near = spark.sql(f"SELECT set_id AS member, size, first(set_id) OVER (PARTITION BY key ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pivot FROM {view}").where("member <> pivot").distinct()
     tiles = materialize(near, "tiles")
     spark.catalog.dropTempView(view)
+    discard(described)
 
     wanted = tiles.select(F.col("member").alias("set_id")).union(tiles.select(F.col("pivot").alias("set_id"))).distinct()
     chosen = classes.join(wanted, "set_id").select("set_id", F.col("first_id").alias("doc_id"))
     arrays = texts.join(chosen, texts.doc_id.eqNullSafe(chosen.doc_id)).select("set_id", "text").mapInArrow(_arrays(width), "set_id long, shingles binary")
     arrays = materialize(arrays.dropDuplicates(["set_id"]), "shingles")
+    discard()
 
     # each member against one pivot, then all other pairs that are still apart
-    once = materialize(tiles.groupBy("member").agg(F.min("pivot").alias("pivot")), "once")
-    links = _linked_to_pivot(once, arrays, s)
-    members, sizes, links = _apart(once, links)
-    block = lambda n: F.pmod(F.xxhash64("member"), F.ceil(F.col(n) / GROUP))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / GROUP) - 1))
+    once = materialize(tiles.groupBy("member").agg(F.min("pivot").alias("pivot"), F.first("size").alias("size")), "once")
+    members, sizes, links = _apart(once, _linked_to_pivot(once, arrays, s))
+    of = lambda n, rows: F.ceil(F.col(n) / F.col(rows))
+    block = lambda n: F.pmod(F.xxhash64("member"), of(n, "rows"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of(n, "rows") - 1))
     for r in range(ROUNDS):
-        large = sizes.where(F.col("loose") > GROUP // 2)
+        large = sizes.where(F.col("loose") > LARGE)
         if large.isEmpty():
             break
         wide = members.join(large, "pivot")
@@ -325,15 +336,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         draw = F.pmod(F.xxhash64("member", F.lit(r)), F.ceil(2 * F.when(F.col("apart"), F.col("loose")).otherwise(F.col("n")) / SUBPIVOTS)) == 0
         left = wide.where("apart").select("pivot", block("loose").alias("row_block"), F.lit(0).cast("long").alias("col_block"), "member", "component")
         right = wide.where(draw).select("pivot", spread("loose").alias("row_block"), F.lit(0).cast("long").alias("col_block"), "member", "component")
-        members, sizes, links = _apart(once, links.union(_blocks_of(left, right, arrays, s)))
-    members, _, links = _apart(tiles, links)
-    rest = members.where("apart").select("pivot", "member").join(once, ["pivot", "member"], "left_anti")
-    members, sizes, links = _apart(tiles, links.union(_linked_to_pivot(materialize(rest, "rest"), arrays, s)))
+        old, (members, sizes, links) = (members, sizes), _apart(once, links.union(_blocks_of(left, right, arrays, s)))
+        discard(*old)
+    old, (members, sizes, links) = (members, sizes), _apart(tiles, links)
+    discard(*old)
+    rest = materialize(members.where("apart").select("pivot", "member", "size").join(once, ["pivot", "member"], "left_anti"), "rest")
+    old, (members, sizes, links) = (members, sizes, rest), _apart(tiles, links.union(_linked_to_pivot(rest, arrays, s)))
+    discard(*old)
     open_ = members.join(sizes, "pivot")
     left = open_.where("apart").select("pivot", block("loose").alias("row_block"), spread("n").alias("col_block"), "member", "component")
     right = open_.select("pivot", spread("loose").alias("row_block"), block("n").alias("col_block"), "member", "component")
-    links = links.union(_blocks_of(left, right, arrays, s))
-    found = connected_components(links)
+    found = connected_components(links.union(_blocks_of(left, right, arrays, s)))
+    discard(members, sizes, arrays, tiles, once)
     named = classes.join(found, classes.set_id == found.node, "left").select("set_id", "first_id", F.coalesce("component", "set_id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
     named = named.join(lowest, "root").select("set_id", "component")

@@ -65,6 +65,7 @@ def discard(*tables: DataFrame, part: str = "") -> None:
         spark, path = df.sparkSession, _STORED[df] if part else _STORED.pop(df)
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if spark := SparkSession.getActiveSession():
         spark._jvm.System.gc()  # the cleaner acts on what the driver no longer refers to
 
 
