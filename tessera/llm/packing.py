@@ -3,13 +3,15 @@
 A task tokenises its own rows and packs them as they come, so no token is
 shuffled.  Pieces are taken in runs of bounded size, longest first.  A sequence
 has three capacities: tokens, documents, and attention cost (the sum of squared
-piece lengths).  Among the open sequences that hold the piece under all three, the
+piece lengths).  The last two are set so that they bind: the number of documents by the
+corpus's mean, the cost below that of one full piece.  Among the open sequences that hold the piece under all three, the
 one with the smallest weighted norm of what would remain is chosen, or the one
 with the largest weighted dot product of demand and residual.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from array import array
 from itertools import chain
@@ -21,14 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, table, text_slices
+from .shared import Words, small_batches, table, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker keeps; beyond it the store starts anew.
 KNOWN_WORDS = 900_000
 #: Tokens of pieces that are packed together, and sequences that stay open after them.
-RUN_TOKENS, OPEN = 4_000_000, 512
+RUN_TOKENS, OPEN = 4_000_000, 4096
+#: Default capacities: documents of a sequence against the corpus's mean, and attention cost against that of one full piece.
+DOCUMENTS_OF_MEAN, LEAST_DOCUMENTS, COST_SHARE = 6, 16, 0.9
+#: Bytes of text that make a token at least, on the mean, to tell the corpus's mean before it is tokenised.
+TOKEN_BYTES = 2.5
 
 
 class WordTokenizer:
@@ -218,12 +224,18 @@ class Packer:
         self.weights, self.rule = np.array(weights), rule
         self.left, self.number, self.used = np.zeros((64, 3)), np.zeros(64, np.int64), 0
         self.opened = 0
+        self.decided = np.zeros(3, np.int64)  # placements in which a capacity alone kept a piece out of an open sequence
+        self.closed = np.zeros(3, np.int64)  # sequences that a capacity closed
+        self.trimmed = 0
 
     def place(self, length: int) -> tuple[int, int]:
-        """(sequence, offset) of a piece."""
+        """(sequence, offset) of a piece; one that is over the cost by itself has a sequence of its own."""
         need = np.array([length, 1.0, float(length) ** 2]) / self.size
         left = self.left[: self.used]
-        fits = np.flatnonzero((left[:, 0] >= need[0] - 1e-12) & (left[:, 1] >= need[1] - 1e-12) & (left[:, 2] >= need[2] - 1e-12))
+        holds = left >= need - 1e-12
+        number = holds.sum(1)
+        fits = np.flatnonzero(number == 3)
+        self.decided += (~holds[number == 2]).any(0)
         if len(fits):
             if self.rule == "norm":
                 after = left[fits] - need
@@ -239,7 +251,9 @@ class Packer:
         offset = round((1 - self.left[at, 0]) * self.size[0])
         self.left[at] -= need
         out = int(self.number[at]), offset
-        if self.left[at, 0] * self.size[0] < 0.5 or self.left[at, 1] * self.size[1] < 0.5:
+        full = self.left[at] * self.size < (0.5, 0.5, 1.0)
+        if full.any():  # nothing more goes in
+            self.closed += full
             self._close(at)
         return out
 
@@ -250,6 +264,7 @@ class Packer:
     def trim(self, keep: int) -> None:
         """Keep the emptiest open sequences only."""
         if self.used > keep:
+            self.trimmed += self.used - keep
             best = np.argsort(-self.left[: self.used, 0], kind="stable")[:keep]
             self.left[:keep], self.number[:keep], self.used = self.left[best], self.number[best], keep
 
@@ -289,23 +304,31 @@ def _pack(path, tokens, documents, cost, weights, rule):
     return run
 
 
-def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int = 4096, documents: int = 1024, cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), rule: str = "norm", tokenizer_path: str | None = None) -> DataFrame:
+def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int = 4096, documents: int | None = None, cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), rule: str = "norm", tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): a row for each piece.
 
     ids are little-endian unsigned 32-bit tokens; a document ends with token 1, so a
     null, empty or blank text is that token alone.  A document of more than tokens
-    tokens is cut into pieces of that size, the last may be shorter.  cost bounds the
-    sum of squared piece lengths in a sequence (by default tokens squared); rule is
+    tokens is cut into pieces of that size, the last may be shorter.  documents bounds the
+    pieces of a sequence, by default to six times what a sequence would hold on the mean;
+    cost bounds the sum of squared piece lengths, by default to 0.9 of tokens squared, and a
+    piece over it alone has a sequence of its own.  rule is
     "norm" or "dot".  Repeated rows are packed each by itself, a null id stays null,
     other columns are ignored, no rows give no rows.  Sequences are filled within a
-    task: a task leaves its last ones open, which is at most a few for each 16 MB.
+    task: a task leaves its last ones open, which is at most a few for each 16 MB, and closes
+    the fullest of more than OPEN open ones.
     """
     if rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule: {rule}")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, tokens, documents, cost or float(tokens) ** 2, weights, rule), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    if documents is None:
+        size = rows.agg(F.avg(F.least(F.lit(float(tokens)), F.octet_length(F.coalesce("text", F.lit(""))) / TOKEN_BYTES + 1))).first()[0] or 1.0
+        documents = max(LEAST_DOCUMENTS, math.ceil(DOCUMENTS_OF_MEAN * tokens / size))
+    return rows.mapInArrow(_pack(tokenizer_path, tokens, documents, cost or COST_SHARE * float(tokens) ** 2, weights, rule), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every whole document, their ids' checksums and their places in sequences."""
     packed = pack_best_fit(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
