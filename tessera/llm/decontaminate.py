@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, hash_words, materialize, small_batches, table, text_slices
+from .shared import PLAIN, hash_words, materialize, small_batches, table, text_slices, unused
 
 FAN_IN = 32
 _BLOCKS = 16
@@ -40,7 +40,7 @@ class Settings(NamedTuple):
     answer_words: int = 6
     answer_share: float = 0.6
     least_words: int = 6  # of an item; shorter ones are not looked for
-    most_items: int = 100_000  # the benchmark is sent to every task: more items than this raise an error
+    most_items: int = 100_000  # items that are sent to every task; more are looked for in several passes
 
 
 class Item(NamedTuple):
@@ -56,12 +56,24 @@ class Blocks(NamedTuple):
     words: object
 
 
+# fixed values: UTF-8 capitals of two bytes: first byte, second bytes from and to, first byte of the small letter, shift of the second
+_CAPITALS = (
+    (0xC3, 0x80, 0x96, 0xC3, 0x20), (0xC3, 0x98, 0x9E, 0xC3, 0x20),  # Latin-1
+    (0xCE, 0x91, 0x9F, 0xCE, 0x20), (0xCE, 0xA0, 0xAB, 0xCF, -0x20),  # Greek
+    (0xD0, 0x90, 0x9F, 0xD0, 0x20), (0xD0, 0xA0, 0xAF, 0xD1, -0x20), (0xD0, 0x80, 0x8F, 0xD1, 0x10),  # Cyrillic
+)
+
+
 def plain_words(buf: np.ndarray, offsets: np.ndarray):
-    """Words in lower case without ASCII marks; accented Latin-1 capitals, two bytes from C3 80 to C3 9E, are lowered too."""
+    """Words in lower case without ASCII marks; accented Latin-1, Greek and Cyrillic capitals are lowered too."""
     if len(buf) > 1:
-        buf = buf.copy()
-        second = buf[1:]
-        second[(buf[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+        first, second = buf[:-1], buf[1:]
+        out = buf.copy()
+        for lead, low, high, small, shift in _CAPITALS:
+            at = np.flatnonzero(first == lead)
+            at = at[(second[at] >= low) & (second[at] <= high)]
+            out[at], out[at + 1] = small, (second[at].astype(np.int16) + shift).astype(np.uint8)
+        buf = out
     return hash_words(buf, offsets, lower=True, fold=PLAIN)
 
 
@@ -205,11 +217,8 @@ def common_subsequence(a: list[int], places: dict[int, int], length: int) -> int
 
 
 def benchmark_items(benchmark: DataFrame, s: Settings, id_col: str = "item_id", text_col: str = "text") -> list[Item]:
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).limit(s.most_items + 1).collect()
-    if len(rows) > s.most_items:
-        raise ValueError(f"the benchmark has more than {s.most_items} items")
     out = []
-    for r in rows:
+    for r in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).collect():  # most_items or so
         data = r["t"].encode()
         h = plain_words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes
         if len(h) >= s.least_words:
@@ -298,18 +307,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, lcs_words long, item_words long, answer_share double"
-    items = benchmark_items(benchmark, s)
-    space = fit_space(docs, text_col, s, words=np.unique(np.concatenate([x.words for x in items]))) if items else None
-    if space is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return rows.mapInArrow(_search(items, space, s), schema)
+    passes = -(-benchmark.count() // s.most_items)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for k in range(passes):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else benchmark
+        items = benchmark_items(part, s)
+        space = fit_space(docs, text_col, s, words=np.unique(np.concatenate([x.words for x in items]))) if items else None
+        if space is not None:
+            found = rows.mapInArrow(_search(items, space, s), schema)
+            out = found if k == 0 else out.unionByName(found)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """The rows of docs whose id no item was found in; rows of a null id stay."""
-    found = materialize(find_contamination(docs, benchmark, id_col, text_col, s).select(F.col("doc_id").alias("_found")).distinct(), "found")
-    return docs.join(found, docs[id_col] == found._found, "left_anti")
+    (name,) = unused(docs, "_found")
+    found = materialize(find_contamination(docs, benchmark, id_col, text_col, s).select(F.col("doc_id").alias(name)).distinct(), "found")
+    return docs.join(found, docs[id_col] == found[name], "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every whole document."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hash_words, materialize, mix, small_batches, table, text_slices
+from .shared import discard, hash_words, materialize, mix, small_batches, table, text_slices, unused
 
 VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.zeros(256, bool)
@@ -103,10 +103,12 @@ def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order
     small_batches(docs.sparkSession)
     lines = docs.select(key, text, F.xxhash64(text)).mapInArrow(_lines(depth, least_tokens, long_tokens), "key long, whole long, line_no int, leaf long, line long, exact long, speaks boolean")
     lines = materialize(lines, "lines")
-    leaves = lines.where("speaks").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    shared = lines.join(leaves, "leaf", "left_semi")
-    distinct = shared.where("speaks").groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("key", "line_no")).alias("at"))
-    distinct = materialize(distinct.select("leaf", "line", "docs", "at.key", "at.line_no"), "distinct")
+    # equal lines are one row before a leaf's rows meet, so a frequent line makes no large leaf
+    every = lines.where("speaks").groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("key", "line_no")).alias("at"))
+    every = materialize(every.select("leaf", "line", "docs", "at.key", "at.line_no"), "every")
+    leaves = every.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    distinct = materialize(every.join(leaves, "leaf", "left_semi"), "distinct")
+    discard(every)
     # what stands only once in its document, and is asked of it: no more than the document's lines
     asked = distinct.groupBy("key").agg(F.collect_list(F.struct("line_no", "leaf", "line", "docs")).alias("wanted"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(asked, "key").dropDuplicates(["key"]).select("text", "wanted")
@@ -118,7 +120,8 @@ def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order
     named = named.select("leaf", "line", "docs", F.when(F.col("share") >= constant_share, F.col("general")).otherwise(F.col("line")).alias("template"))
     common = named.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
     named = materialize(named.join(common, ["leaf", "template"]).select("leaf", "line", "template"), "templates")
-    found = shared.join(named, ["leaf", "line"]).select("key", "line_no", "leaf", "template")
+    discard(distinct, tokens)
+    found = lines.where("leaf IS NOT NULL").join(named, ["leaf", "line"]).select("key", "line_no", "leaf", "template")
     # copies of one text are no recurring lines: the near-duplicate join finds them
     long = lines.where("exact IS NOT NULL")
     again = long.groupBy("exact").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("exact")
@@ -140,15 +143,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document and lose the same lines.  A null text stays null; an empty one stays
     empty; a text may become empty; no rows give no rows.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    plain = keyed.where(F.col(text_col).isNotNull()).select(F.col("_key").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    gone = recurring_lines(plain, **params).where("NOT first").groupBy("key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("key", "_gone_key")
-    joined = keyed.join(gone, (keyed._key == gone._gone_key) & keyed[text_col].isNotNull(), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
-    return joined.select(*[(cut if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != "n_dropped"], F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(dropped).cast("long").alias("n_dropped"))
+    key, gone, gone_key = unused(docs, "_key", "_gone", "_gone_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    plain = keyed.where(F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    cuts = recurring_lines(plain, **params).where("NOT first").groupBy("key").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("key", gone_key)
+    joined = keyed.join(cuts, (keyed[key] == cuts[gone_key]) & keyed[text_col].isNotNull(), "left")
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    cut = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
+    dropped = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    return joined.select(*[(cut if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != "n_dropped"], dropped.alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without recurring lines, and how many went; a null text stays null."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", F.octet_length("text").cast("long").alias("text_bytes"), "text")

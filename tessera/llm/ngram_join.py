@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .decontaminate import tree_sum
-from .shared import discard, hash_words, materialize, mix, small_batches, table, text_slices
+from .shared import discard, hash_words, materialize, mix, small_batches, table, text_slices, unused
 
 #: Bits of a bitmap, at least; sets of more shingles than half of that get more, up to the most.
 BITS, MOST_BITS = 512, 1 << 16
@@ -356,9 +356,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; of repeated rows with that id all stay."""
-    kept = ngram_jaccard_join(docs, id_col, text_col, **params).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept._kept), "left_semi")
+    (name,) = unused(docs, "_kept")
+    kept = ngram_jaccard_join(docs, id_col, text_col, **params).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every whole document, at five words and a similarity of 0.8."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))

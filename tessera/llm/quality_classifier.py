@@ -14,17 +14,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import crc32_rest, small_batches, table, text_buffer
+from .shared import crc32_rest, materialize, small_batches, table, text_buffer
 
 
 class Limits(NamedTuple):
     """Bounds of what the driver holds to fit the classifier."""
 
     texts: int = 1500  # labelled texts of each class, half for dictionaries and half for calibration
-    text_bytes: int = 8192  # bytes of a text that a dictionary is built from (scores read whole texts)
+    sample_bytes: int = 12 << 20  # of the texts, whole ones in the order of a hash, that a dictionary is built from; one that does not fit is passed over
     dictionary_bytes: int = 65536
     level: int = 3
     fold: int = 3  # labels are learned from ids whose crc32 modulo fold is not held
@@ -38,14 +38,6 @@ class Model(NamedTuple):
     curve: tuple[float, ...]  # scale and weight of each feature, then the offset
 
 
-def _spread(text: bytes, limit: int) -> bytes:
-    """limit bytes of a text, in pieces from all over it."""
-    if len(text) <= limit:
-        return text
-    pieces, size = 8, limit // 8
-    return b"".join(text[k * (len(text) - size) // (pieces - 1) :][:size] for k in range(pieces))
-
-
 def _dictionary(texts: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little text to train one, the texts themselves."""
     try:
@@ -96,19 +88,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), i
     Rows without a text or label, and ids held out, are left out; an id of several
     labels counts with each.  No rows of one class make a model that always says the other.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1) AND _id IS NOT NULL")
-    known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(limits.fold)) != limits.held)
-    order = F.xxhash64(F.col("_id").cast("string"), F.lit(7))
-    chosen = known.where("_label = 1").orderBy(order, "_id").limit(limits.texts).union(known.where("_label = 0").orderBy(order, "_id").limit(limits.texts))
-    # at most 2 * texts rows of text_bytes pieces
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
-    rows = rows.select("_id", "_label", F.col(text_col).cast("binary").alias("text")).orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(7)), "_id", "text").limit(2 * limits.texts).collect()
-    texts = {c: [bytes(r["text"]) for r in rows if r["_label"] == c and r["text"]] for c in (0, 1)}
-    half = {c: (len(t) + 1) // 2 for c, t in texts.items()}
-    build = [_dictionary([_spread(t, limits.text_bytes) for t in texts[c][: half[c]]], limits.dictionary_bytes) for c in (1, 0)]
-    model = Model(*build, limits.level, ())
-    rest = [(t, c) for c in (0, 1) for t in (texts[c][half[c] :] or texts[c])]
-    return model._replace(curve=fit_logistic(features([t for t, _ in rest], model), np.array([c for _, c in rest], float)))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
+    known = known.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(limits.fold)) != limits.held)
+    order = F.xxhash64(F.col("id").cast("string"), F.lit(7))
+    chosen = known.where("label = 1").orderBy(order, "id").limit(limits.texts).union(known.where("label = 0").orderBy(order, "id").limit(limits.texts))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text")).where("octet_length(text) > 0")
+    # at most 2 * texts ids; rows of one id share the bound
+    of_class = Window.partitionBy("label").orderBy(order, "id", "text")
+    rows = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "text").withColumn("nth", F.row_number().over(of_class)).where(F.col("nth") <= limits.texts)
+    rows = materialize(rows.withColumn("all", F.count("*").over(Window.partitionBy("label"))), "labelled")
+    first = F.col("nth") <= F.ceil(F.col("all") / 2)
+    sample = rows.where(first & (F.octet_length("text") <= limits.sample_bytes)).withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(of_class.rowsBetween(Window.unboundedPreceding, 0)))
+    built: dict = {0: [], 1: []}
+    for r in sample.where(F.col("upto") <= limits.sample_bytes).orderBy("label", "nth").select("label", "text").collect():  # 2 * sample_bytes at most
+        built[r["label"]].append(bytes(r["text"]))
+    model = Model(*(_dictionary(built[c], limits.dictionary_bytes) for c in (1, 0)), limits.level, ())
+    # two numbers a row come back; a class of one text is calibrated on that
+    got = rows.where(~first | (F.col("all") == 1)).select("label", "text").mapInArrow(_measure(model), "label int, x array<double>").collect()
+    got.sort(key=lambda r: (r["label"], r["x"]))
+    return model._replace(curve=fit_logistic(np.array([r["x"] for r in got]).reshape(-1, 2), np.array([r["label"] for r in got], float)))
+
+
+def _measure(model: Model):
+    def run(batches):
+        for batch in batches:
+            x = features([t.as_buffer() for t in batch.column(1)], model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
+
+    return run
 
 
 def _score(model: Model, limits: Limits):
@@ -135,5 +142,6 @@ def score_quality(docs: DataFrame, model: Model, limits: Limits = Limits(), id_c
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole document, fitted on labels of rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))

@@ -253,4 +253,5 @@ def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and the verdict of every whole document; a null text has no words and fails."""
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")

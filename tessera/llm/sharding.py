@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, table, unused
 
 
 def _text(text_col: str) -> Column:
@@ -47,14 +47,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs as Parquet under path, a folder shard=N each, all columns kept; rows carry their slot."""
-    same = Window.partitionBy("_id", "_crc", "_size").orderBy(F.lit(0))
-    plan = shard_by_bytes(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot").withColumn("_nth", F.row_number().over(same))
-    keyed = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(_text(text_col).cast("binary")), "_size": (F.octet_length(_text(text_col)) + F.lit(1)).cast("long")}).withColumn("_nth", F.row_number().over(same))
-    on = [keyed[c].eqNullSafe(plan[c]) for c in ("_id", "_crc", "_size", "_nth")]
+    names = unused(docs, "_id", "_crc", "_size", "_nth")
+    key = names[:3]
+    same = Window.partitionBy(*key).orderBy(F.lit(0))
+    plan = shard_by_bytes(docs, shards, id_col, text_col).toDF(key[0], key[2], key[1], "shard", "slot").withColumn(names[3], F.row_number().over(same))
+    keyed = docs.withColumns(dict(zip(key, (F.col(id_col), F.crc32(_text(text_col).cast("binary")), (F.octet_length(_text(text_col)) + F.lit(1)).cast("long")), strict=True))).withColumn(names[3], F.row_number().over(same))
+    on = [keyed[c].eqNullSafe(plan[c]) for c in names]
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     keyed.join(plan, on).select(*[keyed[c] for c in keep], plan.shard, plan.slot).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes; a null text counts as empty."""
     placed = shard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -32,6 +32,8 @@ _OUT = "page_id long, url string, record_type string, payload_bytes long, payloa
 
 
 def _open(uri: str, write: bool = False):
+    if uri.startswith(("s3a://", "s3n://")):  # Spark's names of what pyarrow calls s3
+        uri = "s3" + uri[3:]
     where, path = fs.FileSystem.from_uri(uri)
     return where.open_output_stream(path, compression=None) if write else where.open_input_file(path)
 
@@ -193,5 +195,6 @@ def read_warc(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, written as archives in the shared folder and read back; a null html is an empty payload."""
     manifest = write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
