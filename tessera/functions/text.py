@@ -116,11 +116,15 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def with_pairs(w: Column) -> Column:
+    """Words and pairs of neighbours, of a column that holds the words: the column is named several times."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+
+
 def word_ngrams(c: Column) -> Column:
-    """Words and pairs of neighbours."""
-    w = tokens(c)
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return F.concat(w, F.coalesce(pairs, F.array().cast("array<string>")))
+    """Words and pairs of neighbours of a text; where the words stand in a column already, with_pairs is cheaper."""
+    return with_pairs(tokens(c))
 
 
 def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import materialize
+
 MISSING = "<MISSING_LABEL>"
 
 
 def duplicate_audit(df: DataFrame, text: Column, label: Column) -> DataFrame:
     """One row: label conflicts, groups of equal text and label, and equal whole rows.
 
-    Every figure is a sum over group sizes, so the table is shuffled once for each of
-    three keys and never joined with itself.
+    Texts and rows are compared by 128 bits of hash, worked out once in one scan; what is
+    shuffled is narrow and already grouped.
     """
-    rows = df.select(text.alias("text"), F.coalesce(label, F.lit(MISSING)).alias("label"))
-    pairs = rows.groupBy("text", "label").agg(F.count("*").alias("n"))
-    by_text = pairs.groupBy("text").agg(F.count("*").alias("labels"), F.sum("n").alias("n"))
-    a = pairs.agg(F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("beyond_canonical"))
-    b = by_text.agg(F.count(F.when(F.col("labels") > 1, 1)).alias("conflicting_texts"), F.coalesce(F.sum(F.when(F.col("labels") > 1, F.col("n"))), F.lit(0)).alias("conflicting_rows"))
-    whole = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
-    c = whole.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("full_row_involved"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("full_row_beyond_first"))
-    empty = df.agg(F.count(F.when(text == "", 1)).alias("empty_texts"), F.count("*").alias("rows"))
-    return reduce(DataFrame.crossJoin, [a, b, c, empty])  # a row each
+    twice = lambda *c: (F.xxhash64(*c), F.xxhash64(F.lit(1), *c))
+    t1, t2 = twice("text")
+    w1, w2 = twice(*df.columns)
+    # an xxhash64 passes over nulls, so which columns are null is a part of the row
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    told = df.select(F.struct(w1, w2, nulls).alias("row"), text.alias("text"), F.coalesce(label, F.lit(MISSING)).alias("label"))
+    rows = materialize(told.select("row", t1.alias("t1"), t2.alias("t2"), F.col("text").isNull().alias("none"), (F.col("text") == "").alias("empty"), "label"), "rows")
+    pairs = rows.groupBy("t1", "t2", "none", "label").agg(F.count("*").alias("n"), F.count(F.when(F.col("empty"), 1)).alias("empty"))
+    several = lambda n: F.coalesce(F.sum(F.when(F.col(n) > 1, F.col(n))), F.lit(0))
+    by_text = pairs.groupBy("t1", "t2", "none").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("empty").alias("empty"), F.count(F.when(F.col("n") > 1, 1)).alias("groups"), several("n").alias("in_groups"), F.sum(F.col("n") - 1).alias("beyond"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    a = by_text.agg(none("groups").alias("duplicate_groups"), none("in_groups").alias("duplicate_rows"), none("beyond").alias("beyond_canonical"), F.count(F.when(F.col("labels") > 1, 1)).alias("conflicting_texts"), none(F.when(F.col("labels") > 1, F.col("n"))).alias("conflicting_rows"), none("empty").alias("empty_texts"), none("n").alias("rows"))
+    whole = rows.groupBy("row").agg(F.count("*").alias("n"))
+    b = whole.agg(several("n").alias("full_row_involved"), none(F.col("n") - 1).alias("full_row_beyond_first"))
+    return a.crossJoin(b).select("duplicate_groups", "duplicate_rows", "beyond_canonical", "conflicting_texts", "conflicting_rows", "full_row_involved", "full_row_beyond_first", "empty_texts", "rows")  # a row each
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -43,7 +49,9 @@ def invalid_labels(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
 def class_counts(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return label_domain(df, labels).join(counts, "label", "left").crossJoin(total).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
+    # a label of the domain that no row has is refused
+    n = F.coalesce("n", F.raise_error(F.concat(F.lit("no rows of label "), F.col("label"))).cast("long")).alias("n")
+    return label_domain(df, labels).join(counts, "label", "left").select("label", n).crossJoin(total).select("label", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def class_pivot(df: DataFrame, by: str, label: str, labels: list[str]) -> DataFrame:
@@ -105,8 +113,9 @@ def checked_dataset(data: DataFrame, folds: DataFrame, labels: list[str], n_fold
 
 
 def canonical_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each group, all columns: a minimum, combined before the shuffle."""
+    rest = [c for c in df.columns if c != order]
+    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_first")).select("_first.*").select(df.columns)
 
 
 def row_set_hash(df: DataFrame, key: str) -> DataFrame:

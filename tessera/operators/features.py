@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tessera.functions.text import char_wb_ngrams, word_ngrams
+from tessera.functions.text import char_wb_ngrams, tokens, with_pairs
+from tessera.operators.tables import materialize
 
-ANALYZERS: dict[str, Callable[[Column], Column]] = {"word": word_ngrams, "character": char_wb_ngrams}
+#: Of each block what a text is cut into, once, and its terms from those.
+ANALYZERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {"word": (tokens, with_pairs), "character": (lambda c: c, char_wb_ngrams)}
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -18,6 +22,12 @@ def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
     return df.select(F.col(key).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
+def analyzed_counts(df: DataFrame, key: str, text: Column, block: str) -> DataFrame:
+    """(doc, term, tf) of a block's terms; the text is cut in a projection of its own."""
+    cut, terms = ANALYZERS[block]
+    return term_counts(df.select(key, cut(text).alias("cut")), key, terms(F.col("cut")))
+
+
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95, max_features: int | None = 60_000) -> DataFrame:
     """(term, df, total, idf): terms within the document-frequency bounds, capped by corpus frequency, ties by term."""
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
@@ -28,6 +38,7 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float =
 
 def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc, term, value): sublinear tf, idf, unit length; terms out of the vocabulary drop out."""
+    # the vocabulary is capped, so it is broadcast; without a cap join by shuffle
     raw = counts.join(vocab.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     return raw.select("doc", "term", (F.col("w") / norm).alias("value"))
@@ -44,13 +55,23 @@ class TallTfidf:
         self.vocabularies: dict[str, DataFrame] = {}
 
     def _counts(self, df: DataFrame, key: str, text: str, block: str) -> DataFrame:
-        return term_counts(df, key, ANALYZERS[block](self.profile(F.col(text))))
+        return analyzed_counts(df, key, self.profile(F.col(text)), block)
 
     def fit(self, df: DataFrame, key: str, text: str) -> TallTfidf:
         n = df.count()
         self.vocabularies = {b: vocabulary(self._counts(df, key, text, b), n, max_features=self.caps[b]) for b in self.blocks}
         return self
 
+    def fit_transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """fit and transform of one table: its texts are cut and counted once, and the counts written."""
+        n, out = df.count(), None
+        for b in self.blocks:
+            counts = materialize(self._counts(df, key, text, b), "counts")
+            self.vocabularies[b] = vocabulary(counts, n, max_features=self.caps[b])
+            part = weigh(counts, self.vocabularies[b]).select("doc", F.lit(b).alias("block"), "term", "value")
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """(doc, block, term, value); blocks have unit length each and are not weighed against each other."""
         out = None
@@ -70,17 +91,12 @@ class TallTfidf:
 
 def assemble(tall: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, features): a sparse vector a document."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
     size = names.count()
     rows = tall.withColumn("name", F.concat_ws("__", "block", "term")).join(F.broadcast(names), "name")  # capped vocabulary
     packed = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("f"))
-
-    @F.udf(VectorUDT())
-    def vector(f):
-        return SparseVector(size, [x["idx"] for x in f], [x["value"] for x in f])
-
-    return packed.select("doc", vector("f").alias("features"))
+    # the fields of a sparse vector, as the vector type stores them; read back from a table they are vectors
+    fields = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"), F.col("f.idx").alias("indices"), F.col("f.value").alias("values"))
+    return materialize(packed.select("doc", fields.alias("features")), "vectors", schema=StructType([packed.schema["doc"], StructField("features", VectorUDT())]))
 
 
 def dense_features(df: DataFrame, key: str, embedding: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import softmax
 from tessera.operators.folds import split
+from tessera.operators.tables import materialize
 
 SEED = 42
 # fixed values: the configurations that are compared
@@ -55,6 +56,7 @@ def fit_predict(train: DataFrame, valid: DataFrame, model_id: str) -> DataFrame:
     """valid (doc, features, label) with prediction and confidence."""
     weighted = with_weights(train, model_id.endswith("balanced")).cache()
     out = build_model(model_id, weighted.count()).fit(weighted).transform(valid)
+    weighted.unpersist()
     return out.select("doc", "label", "prediction", confidence(out).alias("confidence"))
 
 
@@ -72,8 +74,8 @@ def nb_fit(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[Da
 
     terms: (label, term, log_p) of seen pairs; priors: (label, log_prior, log_unseen).
     """
-    seen = counts.join(labels, "doc").groupBy("label", "term").agg(F.sum("tf").alias("n"))
-    width = counts.select("term").distinct().count()
+    seen = materialize(counts.join(labels, "doc").groupBy("label", "term").agg(F.sum("tf").alias("n")), "seen")
+    width = seen.select("term").distinct().count()
     totals = seen.groupBy("label").agg(F.sum("n").alias("total"))
     docs = labels.groupBy("label").agg(F.count("*").alias("docs"))
     everything = docs.agg(F.sum("docs").alias("all_docs"))
@@ -83,9 +85,13 @@ def nb_fit(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[Da
 
 
 def nb_predict(counts: DataFrame, terms: DataFrame, priors: DataFrame) -> DataFrame:
-    """(doc, prediction, score): the best class of each document over terms that training saw."""
-    known = counts.join(terms.select("term").distinct(), "term", "left_semi")
-    size = known.groupBy("doc").agg(F.sum("tf").alias("size"))
-    gain = known.join(terms, "term").join(priors, "label").groupBy("doc", "label").agg(F.sum(F.col("tf") * (F.col("log_p") - F.col("log_unseen"))).alias("gain"))
-    scores = size.crossJoin(priors).join(gain, ["doc", "label"], "left").select("doc", "label", (F.col("log_prior") + F.col("size") * F.col("log_unseen") + F.coalesce("gain", F.lit(0.0))).alias("score"))  # a row a class
-    return scores.groupBy("doc").agg(F.max(F.struct("score", "label")).alias("b")).select("doc", F.col("b.label").alias("prediction"), F.col("b.score").alias("score"))
+    """(doc, prediction, score): the best class of each document over terms that training saw.
+
+    A term has one row with a gain a class, so counts are joined once and summed once.
+    """
+    classes = priors.orderBy("label").collect()  # a row a class
+    gain = terms.join(F.broadcast(priors), "label").select("term", "label", (F.col("log_p") - F.col("log_unseen")).alias("gain"))
+    wide = gain.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("label") == r["label"], F.col("gain"))), F.lit(0.0)).alias(f"g{k}") for k, r in enumerate(classes)])
+    sums = counts.join(wide, "term").groupBy("doc").agg(F.sum("tf").alias("size"), *[F.sum(F.col("tf") * F.col(f"g{k}")).alias(f"g{k}") for k in range(len(classes))])
+    scores = [F.struct((F.lit(r["log_prior"]) + F.col("size") * F.lit(r["log_unseen"]) + F.col(f"g{k}")).alias("score"), F.lit(r["label"]).alias("label")) for k, r in enumerate(classes)]
+    return sums.select("doc", F.array_max(F.array(*scores)).alias("b")).select("doc", F.col("b.label").alias("prediction"), F.col("b.score").alias("score"))

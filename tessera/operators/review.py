@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: the referral thresholds that are compared
 THRESHOLDS = (0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.70)
 
 
@@ -79,8 +80,17 @@ def top_coefficients(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def reproduction(current: DataFrame, prior: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """(metric, difference, within) of metrics both tables (metric, value) have."""
-    return current.join(prior.select("metric", F.col("value").alias("prior")), "metric").select("metric", F.abs(F.col("value") - F.col("prior")).alias("difference"), (F.abs(F.col("value") - F.col("prior")) <= tolerance).alias("within"))
+    """(metric, difference, within) of the metrics of either table (metric, value); one that a table lacks is not within."""
+    both = current.join(prior.select("metric", F.col("value").alias("prior")), "metric", "full")
+    gap = F.abs(F.col("value") - F.col("prior"))
+    return both.select("metric", gap.alias("difference"), F.coalesce(gap <= tolerance, F.lit(False)).alias("within"))
+
+
+def require_reproduced(current: DataFrame, prior: DataFrame, tolerance: float = 1e-6) -> None:
+    """Fail closed: raise if a metric differs by more, or only one table has it."""
+    row = reproduction(current, prior, tolerance).where("NOT within").first()
+    if row is not None:
+        raise ValueError(f"not reproduced: {row.asDict()}")
 
 
 def append_access(history: DataFrame, at: Column) -> DataFrame:

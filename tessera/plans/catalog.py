@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import audit, features, folds, metrics, near, review
 from tessera.sources.files import file_hashes
-from tessera.streaming.predict import predict_stream, run_to_memory, windowed_counts
+from tessera.streaming.predict import predict_stream, run_to_table, windowed_counts
 
 LABELS = ["de", "en", "es", "fr"]
 STOP = ["the", "of", "and"]
@@ -248,7 +248,7 @@ def text_p2(spark, sf_dir):
 _PUNCT = "regexp_replace({}, '[\\p{{P}}\\p{{S}}]', ' ', 'g')"
 _LEET = "translate({}, 'aeios', '43105')"
 _MASK = "array_to_string(list_transform(regexp_extract_all({}, '\\p{{L}}{{5,}}|\\p{{L}}+|[^\\p{{L}}]+'), lambda x: CASE WHEN regexp_full_match(x, '\\p{{L}}{{5,}}') THEN substring(x, 1, 2)||repeat('*', length(x) - 3)||right(x, 1) ELSE x END), '')"
-_REPEAT = "(SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, lag(c) OVER w AS a, lag(c, 2) OVER w AS b, lead(c) OVER w AS z FROM (SELECT unnest(string_split({}, '')) AS c, generate_subscripts(string_split({}, ''), 1) AS i) WINDOW w AS (ORDER BY i)) WHERE NOT coalesce(c <> chr(10) AND c = a AND (c = b OR c = z), false))"
+_REPEAT = "(SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, lag(c) OVER w AS a, lag(c, 2) OVER w AS b, lead(c) OVER w AS z FROM (SELECT unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i) WINDOW w AS (ORDER BY i)) WHERE NOT coalesce(c <> chr(10) AND c = a AND (c = b OR c = z), false))"
 
 
 @query(f"SELECT doc_id, md5({_PUNCT.format('text')}) AS text_md5 FROM documents")
@@ -256,7 +256,7 @@ def perturb_punctuation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.remove_punctuation(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(f"SELECT doc_id, md5(coalesce({_REPEAT}, '')) AS text_md5 FROM (SELECT doc_id, {INJECTED} AS text FROM documents)")
 def perturb_repeats(spark, sf_dir):
     return injected(spark, sf_dir).select("doc_id", F.md5(T.normalize_repeats(F.col("text")).cast("binary")).alias("text_md5"))
 
@@ -316,7 +316,7 @@ def _tfidf_sql(terms: str, cap: int, block: str) -> str:
 def _tfidf(spark, sf_dir, kind) -> DataFrame:
     """A digest of each document's vector."""
     d = table(spark, sf_dir, "documents")
-    tall = features.TallTfidf(kind, _lowered, 2000, 2000).fit(d, "doc_id", "text").transform(d, "doc_id", "text")
+    tall = features.TallTfidf(kind, _lowered, 2000, 2000).fit_transform(d, "doc_id", "text")
     return rounded(tall.groupBy("doc", "block").agg(F.count("*").alias("terms"), F.max("value").alias("largest"), F.sum("value").alias("total")), 6)
 
 
@@ -578,7 +578,7 @@ def predict_stream_batch(spark, sf_dir):
     """The same answers from a stream."""
     c = table(spark, sf_dir, "conversations")
     stream = predict_stream(spark, f"{sf_dir}/conversations.parquet" if _is_dir(spark, f"{sf_dir}/conversations.parquet") else f"{sf_dir}/conversations*.parquet", c.schema.simpleString()[7:-1].replace(":", " "), _answered)
-    return run_to_memory(stream.select("conv_id", "turn", "category", "confidence", "needs_human_review", "message"), "predicted")
+    return run_to_table(stream.select("conv_id", "turn", "category", "confidence", "needs_human_review", "message"))
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
@@ -586,6 +586,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+# fixed values: the probe terms of each category
 _IDENTITY = [("age", "young"), ("age", "old"), ("ethnicity", "Asian"), ("ethnicity", "European"), ("gender", "woman"), ("gender", "man"), ("religion", "Muslim"), ("religion", "Christian")]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import features, folds, metrics, models
+from tessera.operators.tables import materialize
 from tessera.plans.catalog import LABELS, _TOKENS, domain, query, rounded, table
 
 _NB = f"""c AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL),
@@ -18,7 +19,7 @@ t AS (SELECT label, term, ln((n + 1) / mass) AS log_p FROM s JOIN p USING (label
 
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents")
-    return features.term_counts(d, "doc_id", T.tokens(F.lower("text"))), d.select(F.col("doc_id").alias("doc"), F.col("lang").alias("label"))
+    return materialize(features.term_counts(d, "doc_id", T.tokens(F.lower("text"))), "counts"), d.select(F.col("doc_id").alias("doc"), F.col("lang").alias("label"))
 
 
 @query(f"WITH {_NB} SELECT label, count(*) AS terms, round(sum(log_p) / count(*), 9) AS mean_log_p, round(any_value(log_prior), 9) AS log_prior FROM t JOIN p USING (label) GROUP BY label")
