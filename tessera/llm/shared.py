@@ -8,9 +8,6 @@ about 2**-64.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.tables import discard, materialize, new_path, shared_dir
+
+__all__ = ["discard", "materialize", "new_path", "shared_dir"]
+
 #: Bytes of text that are hashed at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -33,44 +34,6 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is made only where it is unset and all runs on one machine."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        set_dir = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-        set_dir = "file://" + set_dir
-    return set_dir.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write df as a table in the shared folder, in folders by the columns given, and read it again: a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _STORED[out] = path
-    return out
-
-
-def discard(*tables: DataFrame, part: str = "") -> None:
-    """Delete tables that materialize wrote, or the folder part of them, and let Spark's cleaner delete the shuffle files of what is over."""
-    for df in tables:
-        spark, path = df.sparkSession, _STORED[df] if part else _STORED.pop(df)
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if spark := SparkSession.getActiveSession():
-        spark._jvm.System.gc()  # the cleaner acts on what the driver no longer refers to
-
-
 def small_batches(spark: SparkSession) -> None:
     """Hand Python at most 1000 rows and 8 MB at once, so that a worker's memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
