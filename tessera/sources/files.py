@@ -17,16 +17,25 @@ NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Quoted, multi-line CSV with a header; the null tokens are null in every column."""
+    """Quoted, multi-line CSV with a header, which must be there; the null tokens are null in every column."""
+    require_path(spark, path)
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     strings = StructType([type(f)(f.name, StringType(), True) for f in schema])
     rows = spark.read.schema(strings).csv(path, header=True, multiLine=True, escape='"', quote='"', nullValue=None, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.select([F.when(F.col(f.name).isin(*NULL_TOKENS), None).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file under a path."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def require_path(spark: SparkSession, path: str) -> str:
+    """The path, if there is something there: checked before a read, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
+    return path
+
+
+def file_hashes(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, length, sha256) of each file under a path; recursive: in folders below, too."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def file_counts(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -76,19 +85,3 @@ def cached_embeddings(spark: SparkSession, path: str, manifest: dict, compute) -
     if df.count() != manifest["rows"] or not bad.isEmpty():
         raise ValueError("cached embeddings are incomplete")
     return df
-
-
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str, labels: list[str] | None = None):
-    """A saved pipeline; with labels, its label set must be those."""
-    from pyspark.ml import PipelineModel
-
-    model = PipelineModel.load(path)
-    if labels is not None:
-        found = next((set(s.labels) for s in model.stages if hasattr(s, "labels")), None)
-        if found != set(labels):
-            raise ValueError("the model's classes are not the expected ones")
-    return model
