@@ -47,7 +47,7 @@ class Shape(NamedTuple):
     hidden: int = 16
     block: int = 16
     rounds: int = 2  # each line is in one of them
-    batch: int = 64  # windows
+    batch: int = 96  # windows
     least_steps: int = 300  # of a task in a round; it goes over its windows again until then
     rate: float = 0.02
     smoothing: float = 0.1  # of the ids in a class
@@ -285,16 +285,15 @@ class Scorer:
         row, col = np.divmod(self.classes.of_id[target], s.side)
         got = np.empty(len(target), np.float32)
         blocks, chunk = x[0].reshape(-1, s.block), 192
-        seen = np.empty((chunk, 2 * s.block, s.width), np.float32)
         for a in range(0, len(doc), chunk):
             z = min(a + chunk, len(doc))
             some, n = slice(a * s.block, z * s.block), z - a
-            before = np.maximum(np.arange(a, z) - 1, 0)
+            seen = np.concatenate((x[0][max(0, a - 1) * s.block : max(1, a) * s.block], x[0][some]))
 
             def window(of_class: np.ndarray) -> np.ndarray:
-                seen[:n, : s.block] = np.take(of_class, blocks[before], 0)
-                seen[:n, s.block :] = np.take(of_class, blocks[a:z], 0)
-                return seen[:n]
+                """Each block with the one before it: overlapping views of one gather."""
+                flat = np.take(of_class, seen, 0)
+                return np.lib.stride_tricks.as_strided(flat, (n, 2 * s.block, s.width), (s.block * flat.strides[0], *flat.strides))
 
             att = np.take(self.q, blocks[a:z], 0) @ window(self.k).transpose(0, 2, 1)
             att += self.bias
