@@ -104,8 +104,12 @@ def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order
     lines = docs.select(key, text, F.xxhash64(text)).mapInArrow(_lines(depth, least_tokens, long_tokens), "key long, whole long, line_no int, leaf long, line long, exact long, speaks boolean")
     lines = materialize(lines, "lines")
     # equal lines are one row before a leaf's rows meet, so a frequent line makes no large leaf
-    every = lines.where("speaks").groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("key", "line_no")).alias("at"))
-    every = materialize(every.select("leaf", "line", "docs", "at.key", "at.line_no"), "every")
+    # where the first one stands is one number, key and line, so that the aggregate is hashed and not sorted
+    place = F.col("key").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+    every = lines.where("speaks").groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(place).alias("at"))
+    every = every.withColumn("key", F.floor(F.col("at") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(20,0)"))
+    number = F.col("at") - F.col("key") * F.lit(1 << 31).cast("decimal(10,0)")
+    every = materialize(every.select("leaf", "line", "docs", F.col("key").cast("long").alias("key"), number.cast("int").alias("line_no")), "every")
     leaves = every.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     distinct = materialize(every.join(leaves, "leaf", "left_semi"), "distinct")
     discard(every)

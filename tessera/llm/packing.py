@@ -1,7 +1,7 @@
 """Operator 9: vector best-fit packing of tokenised documents.
 
 A task tokenises its own rows and packs them as they come, so no token is
-shuffled.  Pieces are taken in runs of bounded size, longest first.  A sequence
+shuffled; ids are remembered by the 64-bit hashes of words.  Pieces are taken in runs of bounded size, longest first.  A sequence
 has three capacities: tokens, documents, and attention cost (the sum of squared
 piece lengths).  The last two are set so that they bind: the number of documents by the
 corpus's mean, the cost below that of one full piece.  Among the open sequences that hold the piece under all three, the
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, small_batches, table, text_slices
+from .shared import Words, hash_words, small_batches, table, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -116,7 +116,7 @@ class HashedWords:
     probability of about 2**-64.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, own: WordTokenizer):
         self.own, self.keys = own, None
@@ -287,11 +287,11 @@ def _rows(run: list, packer: Packer, base: int) -> Iterator[pa.RecordBatch]:
 def _pack(path, tokens, documents, cost, weights, rule):
     def run(batches):
         packer, base, run, held = Packer(tokens, documents, cost, weights, rule), TaskContext.get().partitionId() << 40, [], 0
-        own = tokenizer(path)
+        own = hashed_words(path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, _, buf, offsets in text_slices(batch.column(1)):
-                got, first, _ = own.encode(split_marks(buf, offsets)[0])
+                got, first, _ = own.encode(hash_words(buf, offsets, lower=False))
                 for k in range(len(offsets) - 1):
                     doc = np.append(got[first[k] : first[k + 1]], np.uint32(END))
                     run += [(ids[i + k], p, a, doc[a : a + tokens]) for p, a in enumerate(range(0, len(doc), tokens))]

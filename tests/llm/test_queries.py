@@ -325,3 +325,21 @@ def test_every_capacity_decides_placements(rule):
         packer.place(int(n))
     assert packer.decided[0] > 0 and packer.decided[2] > 0 and packer.closed[1] > 0
     assert packer.opened <= 1.7 * max(sizes.sum() / 4096, len(sizes) / 16)
+
+
+def test_ids_by_hash_equal_text_ids():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tessera.llm.shared import hash_words, text_slices
+    from tokenizers import Tokenizer
+
+    own, rng = Tokenizer.from_file(public.path(packing.TOKENIZER)), random.Random(13)
+    letters = "ab Z9'sStT.,!-_é́ñ  \x1c\x85\x0b\t\n<|>İΣς ﬁ中🙂'll're\"(0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a <|endoftext|> b", "x<|startoftext|>y, z", "plain again, a b"] * 2
+    store = packing.HashedWords(packing.tokenizer())
+    for limit in (512, 4096):
+        for i, j, buf, offsets in text_slices(pa.array(texts), limit):
+            ids, first, size = store.encode(hash_words(buf, offsets, lower=False))
+            assert size.sum() == len(ids)
+            for k in range(j - i):
+                assert ids[first[k] : first[k + 1]].tolist() == own.encode(texts[i + k], add_special_tokens=False).ids
