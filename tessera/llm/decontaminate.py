@@ -66,13 +66,12 @@ _CAPITALS = (
 
 def plain_words(buf: np.ndarray, offsets: np.ndarray):
     """Words in lower case without ASCII marks; accented Latin-1, Greek and Cyrillic capitals are lowered too."""
-    if len(buf) > 1:
-        first, second = buf[:-1], buf[1:]
-        out = buf.copy()
-        for lead, low, high, small, shift in _CAPITALS:
-            at = np.flatnonzero(first == lead)
-            at = at[(second[at] >= low) & (second[at] <= high)]
-            out[at], out[at + 1] = small, (second[at].astype(np.int16) + shift).astype(np.uint8)
+    lead = np.flatnonzero(buf[:-1] >= 0xC3)
+    if len(lead):
+        first, second, out = buf[lead], buf[lead + 1], buf.copy()
+        for capital, low, high, small, shift in _CAPITALS:
+            at = np.flatnonzero((first == capital) & (second >= low) & (second <= high))
+            out[lead[at]], out[lead[at] + 1] = small, (second[at].astype(np.int16) + shift).astype(np.uint8)
         buf = out
     return hash_words(buf, offsets, lower=True, fold=PLAIN)
 
