@@ -142,15 +142,17 @@ def _sketch(s: Settings, idf: np.ndarray, omega: np.ndarray):
                 y = np.zeros((len(first), omega.shape[1]), np.float32)
                 for k in range(int(size[0])):
                     n = int(np.searchsorted(-size, -k, "left"))
-                    y[:n] += weighted[terms[first[:n] + k]]
+                    y[:n] += np.take(weighted, terms[first[:n] + k], 0)
                 y /= np.maximum(norm, 1e-9).astype(np.float32)[:, None]
                 row = np.empty(len(by), np.int64)
                 row[by] = np.arange(len(by))
                 of_word = row[np.repeat(np.arange(len(by)), size[row])]
-                order = np.argsort(terms, kind="stable")
-                terms = terms[order]
-                start = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
-                total[terms[start]] += np.add.reduceat(y[of_word[order]], start, axis=0) * idf[terms[start]][:, None]
+                order = np.argsort(terms.astype(np.uint16) if s.terms <= 1 << 16 else terms, kind="stable")  # short numbers sort by radix
+                for c in range(0, len(order), 8192):  # what is gathered stays in the cache
+                    some = order[c : c + 8192]
+                    own = terms[some]
+                    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    total[own[start]] += np.add.reduceat(np.take(y, of_word[some], 0), start, axis=0) * idf[own[start]][:, None]
         task = TaskContext.get().partitionId()
         for k, part in enumerate(np.array_split(total, _BLOCKS)):
             yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "sums": [part.astype("<f8").tobytes()]})
