@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import with_rank
 from tessera.operators.tables import materialize
 
 MISSING = "<MISSING_LABEL>"
@@ -118,7 +122,36 @@ def canonical_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_first")).select("_first.*").select(df.columns)
 
 
+def _digested(batches):
+    """SHA-256 of the lines of all batches, joined by newlines, and their number."""
+    digest, n = hashlib.sha256(), 0
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            digest.update(line.encode() if not n else b"\n" + line.encode())
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["row_order_sha256", "rows"])
+
+
 def row_set_hash(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of the ids in order, a line each.  The ids meet in one row: for tables of ids, not of texts."""
-    ids = F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string"))
-    return df.agg(F.sha2(F.array_join(ids, "\n"), 256).alias("row_order_sha256"), F.count("*").alias("rows"))
+    """SHA-256 of the ids in order, a line each.
+
+    Range partitions are sorted each by itself, and one task takes their lines in turn, since a digest is
+    a chain: it holds a batch of ids at a time.  row_set_tree digests in parallel.
+    """
+    ordered = df.where(F.col(key).isNotNull()).repartitionByRange(key).sortWithinPartitions(key)
+    return ordered.select(F.col(key).cast("string")).coalesce(1).mapInArrow(_digested, "row_order_sha256 string, rows long")
+
+
+def row_set_tree(df: DataFrame, key: str, leaf: int = 4096) -> DataFrame:
+    """(root_sha256, leaves, rows): the ids in order are digested in leaves of so many, in parallel, then the leaves' digests, a line each, in a digest of their own.
+
+    A level more is made while there are more than `leaf` digests, so no row holds more than `leaf` of them.
+    """
+    level = with_rank(df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k")), [], ["_k"], "_n").select((F.col("_n") - 1).alias("n"), F.col("_k").cast("string").alias("line"))
+    n = level.count()
+    leaves = first = -(-n // leaf)
+    while True:
+        level = level.groupBy(F.floor(F.col("n") / leaf).alias("n")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n"), 256).alias("line"))
+        if leaves <= 1:
+            return level.agg(F.coalesce(F.max("line"), F.sha2(F.lit(""), 256)).alias("root_sha256"), F.lit(first).cast("long").alias("leaves"), F.lit(n).cast("long").alias("rows"))
+        leaves = -(-leaves // leaf)

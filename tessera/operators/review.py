@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.metrics import headline_by
+
 # fixed values: the referral thresholds that are compared
 THRESHOLDS = (0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.70)
 
@@ -32,6 +34,16 @@ def referral_curve(df: DataFrame, confidence: str, correct: Column, thresholds=T
     return n.select("n", rows.alias("r")).select("r.threshold", (F.col("r.kept") / F.col("n")).alias("coverage"), (1 - F.col("r.kept") / F.col("n")).alias("referred_rate"), F.when(F.col("r.kept") > 0, F.col("r.right") / F.col("r.kept")).alias("accuracy_kept"))
 
 
+def referral_scores(df: DataFrame, confidence: str, classes: int, thresholds=THRESHOLDS) -> DataFrame:
+    """(threshold, coverage, referred_rate, accuracy_kept, macro_f1_kept) of df (truth, prediction, confidence); a threshold that keeps no row has null scores."""
+    told = F.array(*[F.lit(t) for t in thresholds])
+    total = df.agg(F.count("*").alias("n"))
+    kept = headline_by(df.withColumn("threshold", F.explode(F.filter(told, lambda t: F.col(confidence) >= t))), ["threshold"], classes)
+    rows = df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double").crossJoin(total).join(kept, "threshold", "left")  # a row a threshold
+    coverage = F.coalesce("rows", F.lit(0)) / F.col("n")
+    return rows.select("threshold", coverage.alias("coverage"), (1 - coverage).alias("referred_rate"), F.col("accuracy").alias("accuracy_kept"), F.col("macro_f1").alias("macro_f1_kept"))
+
+
 def bootstrap_difference(df: DataFrame, labels: list[str], truth: str, primary: str, backup: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """One row: macro-F1 difference of two models on the same resampled rows, with its 95 % interval.
 

@@ -19,6 +19,36 @@ def require_fields(df: DataFrame, keys: tuple[str, ...] = ()) -> None:
         raise ValueError(f"not a request: {sorted(more) or 'no text'}")
 
 
+def parse_requests(df: DataFrame, body: str) -> DataFrame:
+    """df with text, model and reason of each JSON body; reason is null where the request may be answered.
+
+    A body is an object with the known fields and no other, a string text of 1 to 500 characters, and, if at all,
+    a string model.  Every other body has the first reason that holds: not_json, not_an_object, extra_field, no_text,
+    text_not_a_string, model_not_a_string, text_length.  The plan is row by row, so it holds for a stream as well.
+    """
+    b = F.col(body)
+    keys = F.json_object_keys(b)
+    raw = F.from_json(b, "struct<text:variant, model:variant>", {"mode": "PERMISSIVE"})
+    kind = lambda c: F.schema_of_variant(raw[c])
+    text, model = (F.try_variant_get(raw[c], "$", "string") for c in REQUEST_FIELDS)
+    parsed = F.try_parse_json(b)
+    reason = (
+        F.when(b.isNull() | parsed.isNull(), "not_json")
+        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object")
+        .when(F.size(F.array_except(keys, F.array(*map(F.lit, REQUEST_FIELDS)))) > 0, "extra_field")
+        .when(~F.array_contains(keys, "text") | F.is_variant_null(raw["text"]), "no_text")
+        .when(kind("text") != "STRING", "text_not_a_string")
+        .when(F.array_contains(keys, "model") & ~F.is_variant_null(raw["model"]) & (kind("model") != "STRING"), "model_not_a_string")
+        .when(~F.length(text).between(1, MOST_CHARACTERS), "text_length")
+    )
+    return df.withColumns({"text": text, "model": model, "reason": reason})
+
+
+def split_requests(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests to answer, quarantine): fail closed, every row is in one of the two."""
+    return parsed.where(F.col("reason").isNull()).drop("reason"), parsed.where(F.col("reason").isNotNull())
+
+
 def answers(requests: DataFrame, registry: DataFrame, default: str, category: Column, confidence: Column, threshold: float) -> DataFrame:
     """requests with model, status, model_name, confidence_kind, category, confidence, needs_human_review and message.
 

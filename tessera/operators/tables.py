@@ -13,9 +13,15 @@ from pyspark.sql.types import StructType
 _STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+def set_shared_dir(spark: SparkSession) -> str | None:
+    """The folder that the cluster names in spark.checkpoint.dir, if it does."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one is made only where it is unset and all runs on one machine."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    set_dir = set_shared_dir(spark) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -2,13 +2,17 @@
 
 
 def all_queries() -> dict:
-    from tessera.plans import catalog, models  # noqa: F401  models adds its own to the catalog
+    from tessera.plans import catalog, models, reviews  # noqa: F401  the others add their own to the catalog
 
     return catalog.QUERIES
 
 
 def all_sql() -> dict[str, str]:
     all_queries()
-    from tessera.plans import catalog
+    from pyspark.sql import SparkSession
 
-    return catalog.ORACLE
+    from tessera.operators.store import store_dir
+    from tessera.plans import catalog, models
+
+    root = store_dir(SparkSession.getActiveSession()).removeprefix("file://")
+    return {name: sql.replace(models.STORE, root) for name, sql in catalog.ORACLE.items()}

@@ -212,8 +212,8 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("text", F.lit(" @u"), i, F.lit(" x@y #t_"), i, F.lit(" z#no http://X.y/@q/"), i, F.lit(" www.A.b sooo!!!!")).alias("text"))
 
 
-def _sql_profile(lower: bool, url: str, user: str, hashtag: str | None) -> str:
-    t = SPACE.format(INJECTED)
+def _sql_profile(lower: bool, url: str, user: str, hashtag: str | None, text: str = INJECTED) -> str:
+    t = SPACE.format(text)
     t = f"lower({t})" if lower else t
     t = f"regexp_replace({t}, '(?i)(^|{_W})(?:https?://|www\\.)[^\\s<>\"]+', '\\1{url}', 'g')"
     t = f"regexp_replace({t}, '(^|{_W})@[A-Za-z0-9_]+', '\\1{user}', 'g')"
@@ -406,26 +406,6 @@ def fold_summary(spark, sf_dir):
     return rounded(metrics.fold_summary(by_fold, ["accuracy", "confidence"]))
 
 
-# fixed values: the recorded confusion matrix of the protected fold, and its label order
-GOLDEN_LABELS = ["age", "ethnicity", "gender", "religion", "other_cyberbullying", "not_cyberbullying"]
-GOLDEN_CELLS = [[1559, 2, 1, 1, 15, 15], [2, 1559, 4, 2, 11, 6], [1, 1, 1318, 3, 91, 109], [0, 3, 3, 1527, 15, 47], [13, 4, 54, 8, 944, 185], [25, 7, 45, 42, 283, 861]]
-_GOLDEN = "cells(truth, prediction, n) AS (VALUES " + ", ".join(f"('{t}', '{p}', {GOLDEN_CELLS[i][j]})" for i, t in enumerate(GOLDEN_LABELS) for j, p in enumerate(GOLDEN_LABELS)) + ")"
-
-
-def golden_cells(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, p, GOLDEN_CELLS[i][j], i, j) for i, t in enumerate(GOLDEN_LABELS) for j, p in enumerate(GOLDEN_LABELS)], "truth string, prediction string, n long, truth_idx int, prediction_idx int")
-
-
-@query(f"WITH {_GOLDEN}, {_PER_CLASS} {_HEADLINE}")
-def golden_final_metrics(spark, sf_dir):
-    return rounded(metrics.headline(golden_cells(spark)))
-
-
-@query(f"WITH {_GOLDEN}, {_PER_CLASS} SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support::bigint AS support FROM k")
-def golden_class_metrics(spark, sf_dir):
-    return rounded(metrics.per_class(golden_cells(spark)).select("label", "precision", "recall", "f1", "support"))
-
-
 _BINARY = "SELECT count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (t AND p) AS tp FROM (SELECT toxic = 1 AS t, contains(lower(text), 'stupid') OR contains(lower(text), 'moron') AS p FROM documents JOIN labels USING (doc_id))"
 
 
@@ -490,46 +470,6 @@ def top_coefficients(spark, sf_dir):
     return rounded(top.select("class", "rank", "idx", "coefficient", F.concat(F.lit("dim__"), T.mask_feature(F.concat(F.lit("dim__d"), F.col("idx").cast("string")))).alias("masked_feature")))
 
 
-# fixed values: recorded cross-validated scores of the model families
-SCORES = [("logistic_regression_c1_balanced", 0.8702720818121882), ("linear_svm_c0_5", 0.8689624748875225), ("xgboost", 0.8647147020624404), ("random_forest", 0.8431041396507328), ("multinomial_nb", 0.7429693800590704)]
-_SCORES = "s(model, score, idx) AS (VALUES " + ", ".join(f"('{m}', {v!r}::double, {i})" for i, (m, v) in enumerate(SCORES)) + ")"
-
-
-def scores(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, v, i) for i, (m, v) in enumerate(SCORES)], "model string, score double, idx int")
-
-
-@query(f"WITH {_SCORES} SELECT model, score FROM s WHERE model LIKE 'linear_svm%' AND (SELECT score FROM s WHERE idx = 0) - score <= 0.005 ORDER BY score DESC, idx LIMIT 1")
-def candidate_selection(spark, sf_dir):
-    return review.select_backup(scores(spark), SCORES[0][0], "linear_svm")
-
-
-@query(f"WITH {_SCORES} SELECT model, score FROM s ORDER BY score DESC, idx LIMIT 1")
-def winner(spark, sf_dir):
-    return review.best(scores(spark), "score", "idx").select("model", "score")
-
-
-# fixed values: ids, bytes and thresholds of the registry
-REGISTRY = [("naive_bayes", 8084521, None), ("logistic_regression", 6564086, 0.45), ("linear_svm", 6092226, None), ("random_forest", 7916749, None), ("xgboost", 1835008, None)]
-_REGISTRY = "r(id, bytes, referral_threshold) AS (VALUES " + ", ".join(f"('{i}', {b}::bigint, {'NULL' if t is None else t}::double)" for i, b, t in REGISTRY) + ")"
-_IDS = {"multinomial_nb": "naive_bayes", "logistic_regression_c1_balanced": "logistic_regression", "linear_svm_c0_5": "linear_svm", "random_forest": "random_forest", "xgboost": "xgboost"}
-
-
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, b, t, 0.0) for i, b, t in REGISTRY], "id string, bytes long, referral_threshold double, macro_f1 double")
-
-
-@query(f"WITH {_REGISTRY}, m(id, macro_f1) AS (VALUES " + ", ".join(f"('{_IDS[k]}', {v!r}::double)" for k, v in SCORES) + ") SELECT id, macro_f1, round(bytes / 1048576, 2) AS size_mib FROM r JOIN m USING (id)")
-def registry_refresh(spark, sf_dir):
-    new = scores(spark).select(F.replace(F.element_at(F.create_map(*[F.lit(x) for kv in _IDS.items() for x in kv]), F.col("model")), F.lit(" "), F.lit(" ")).alias("id"), F.col("score").alias("macro_f1"))
-    return review.refresh_registry(registry(spark), new).select("id", "macro_f1", "size_mib")
-
-
-@query(f"WITH {_REGISTRY} SELECT count(DISTINCT id) = 5 AS all_ids, bool_or(id = 'logistic_regression') AS has_default, bool_and(referral_threshold IS NULL OR (referral_threshold > 0 AND referral_threshold < 1)) AS thresholds_valid FROM r")
-def registry_checks(spark, sf_dir):
-    return review.registry_checks(registry(spark), "logistic_regression")
-
-
 @query("SELECT * FROM (VALUES ('2024-01-01T00:00:00+00:00', 'first_access', false), ('2024-01-02T00:00:00+00:00', 'reproduction', false)) t(evaluated_at_utc, kind, selection_used_final_test)")
 def access_history_append(spark, sf_dir):
     empty = spark.createDataFrame([], "evaluated_at_utc string, kind string, selection_used_final_test boolean")
@@ -537,13 +477,6 @@ def access_history_append(spark, sf_dir):
     return review.append_access(once, F.lit("2024-01-02T00:00:00+00:00"))
 
 
-@query("SELECT * FROM (VALUES ('accuracy', true), ('macro_f1', true), ('mcc', false)) t(metric, within)")
-def reproduction_tolerance(spark, sf_dir):
-    now = spark.createDataFrame([("accuracy", 0.8861510381), ("macro_f1", 0.8744225274), ("mcc", 0.8633)], "metric string, value double")
-    prior = spark.createDataFrame([("accuracy", 0.8861510381017568), ("macro_f1", 0.8744225273790248), ("mcc", 0.8633571806145711)], "metric string, value double")
-    return review.reproduction(now, prior).select("metric", "within")
-
-
 # --- prediction --------------------------------------------------------------------------------
 
 _C = "('0x'||md5(conv_id||':'||turn)[1:8])::bigint % 10001 / 10000.0::double"
@@ -590,12 +523,6 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 _IDENTITY = [("age", "young"), ("age", "old"), ("ethnicity", "Asian"), ("ethnicity", "European"), ("gender", "woman"), ("gender", "man"), ("religion", "Muslim"), ("religion", "Christian")]
 
 
-@query("SELECT category, term, 'this person is '||lower(term)||'.' AS sentence FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _IDENTITY) + ") t(category, term)")
-def identity_probes(spark, sf_dir):
-    probes = spark.createDataFrame(_IDENTITY, "category string, term string")
-    return probes.select("category", "term", T.profile_p1(F.concat(F.lit("This person is "), "term", F.lit("."))).alias("sentence"))
-
-
 @query("SELECT replace(lang, '_', ' ') AS name, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 9) AS share, round(count(*) / greatest(max(count(*)) OVER (), 0.01), 9) AS bar FROM documents GROUP BY lang")
 def dashboard_summary(spark, sf_dir):
     c = audit.class_counts(table(spark, sf_dir, "documents"), "lang", LABELS)
