@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from tessera.operators.features import ANALYZERS
 from tessera.operators.ranks import with_rank
-from tessera.operators.tables import discard, materialize
+from tessera.operators.tables import discard, materialize, spread
 
 #: Features of a slice of a gradient.
 SLICE = 1 << 16
@@ -83,15 +83,15 @@ class FoldFeatures:
         """(doc, fold, label, idx, val) of df: a row without any known term has empty arrays.  label: a number, or null."""
         head = df.select(F.col(key).alias("doc"), F.col(fold).cast("int").alias("fold"), F.col(label).cast("int").alias("label"))
         if counts is None:
-            counts = _counts(df, key, self.profile(F.col(text)), fold, self.blocks)
+            counts = _counts(df, key, text, self.profile, fold, self.blocks)
         found = counts.join(F.broadcast(self.table.select("block", "term", "idx")), ["block", "term"])  # a capped vocabulary a fold
         packed = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("f"))  # of one text
         none = lambda c, t: F.coalesce(c, F.array().cast(t))
         return head.join(packed, "doc", "left").select("doc", "fold", "label", none(F.col("f.idx"), "array<int>").alias("idx"), none(F.transform("f.tf", lambda n: 1 + F.log(n)), "array<double>").alias("val"))
 
 
-def _counts(df: DataFrame, key: str, text: Column, fold: str, blocks: tuple[str, ...]) -> DataFrame:
-    told = df.select(F.col(key).alias("doc"), F.col(fold).cast("int").alias("fold"), text.alias("_text"))
+def _counts(df: DataFrame, key: str, text: str, profile: Callable[[Column], Column], fold: str, blocks: tuple[str, ...]) -> DataFrame:
+    told = spread(df.select(F.col(key).alias("doc"), F.col(fold).cast("int").alias("fold"), F.col(text).alias("_raw"))).select("doc", "fold", profile(F.col("_raw")).alias("_text"))
     out = None
     for b in blocks:
         part = row_counts(told, ["doc", "fold"], F.col("_text"), b).withColumn("block", F.lit(b))
@@ -110,7 +110,7 @@ def features_of(table: DataFrame, profile: Callable[[Column], Column], blocks: t
 
 def fit_features(df: DataFrame, key: str, text: str, label: str, fold: str, profile: Callable[[Column], Column], blocks: tuple[str, ...] = ("word", "character"), folds: tuple[int, ...] = (1, 2, 3, 4), cap: int | None = 60_000) -> tuple[FoldFeatures, DataFrame]:
     """(features of every fold, the rows of df on them); df's texts are cut once."""
-    counts = materialize(_counts(df, key, profile(F.col(text)), fold, blocks), "fold-counts")
+    counts = materialize(_counts(df, key, text, profile, fold, blocks), "fold-counts")
     sizes = {r["f"]: r["n"] for r in df.groupBy(F.col(fold).cast("int").alias("f")).agg(F.count("*").alias("n")).collect()}  # a row a fold
     empty = [f for f in folds if not sizes.get(f) or not sum(n for g, n in sizes.items() if g not in (f, PROTECTED))]
     if empty:

@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tessera.operators.tables import set_shared_dir
 #: Where all runs on one machine and neither the session nor the environment names a folder.
 LOCAL = "/tmp/tessera-store"
 #: Part of every manifest: tables of other code are made anew.
-VERSION = 1
+VERSION = 2
 
 
 def store_dir(spark: SparkSession | None) -> str:
@@ -27,9 +28,22 @@ def store_dir(spark: SparkSession | None) -> str:
             return named
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.tessera.store or spark.checkpoint.dir to a folder that all executors share")
+    elif shared := _default("spark.checkpoint.dir"):
+        return f"{shared.rstrip('/')}/store"
     return os.environ.get("TESSERA_STORE", LOCAL)
 
 
+def _default(key: str) -> str | None:
+    """What a new session would have: Spark's defaults file."""
+    homes = [os.environ.get("SPARK_CONF_DIR"), *(f"{h}/conf" for h in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)) if h)]
+    for home in filter(None, homes):
+        if os.path.exists(at := f"{home}/spark-defaults.conf"):
+            with open(at) as f:
+                told = dict(parts for line in f if len(parts := line.split(None, 1)) == 2 and not line.startswith("#"))
+            return told[key].strip() if key in told else None
+    return None
+
+
 def fingerprint(df: DataFrame, *columns: str | Column) -> str:
     """Rows and a sum of hashes of the columns, which any engine can tell; the order of rows does not matter."""
     told = F.concat_ws(":", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns])
@@ -63,9 +77,11 @@ class Store:
 
     def once(self, part: str, settings: dict, make: Callable[[], dict]) -> dict:
         """The manifest of a part; make() writes its tables, unless they stand there under the same settings. The manifest is written last."""
-        want = {"version": VERSION, "settings": settings}
+        want = json.loads(json.dumps({"version": VERSION, "settings": settings}))
         found = self.manifest(part)
         if found is None or {k: found.get(k) for k in want} != want:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest(part))
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)  # a run that breaks off leaves no valid part
             found = want | {"made": make()}
             self.spark.createDataFrame([(json.dumps(found, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(self._manifest(part))
         return found

@@ -10,23 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Folders that this process made for itself, as Spark may name them.
+_MADE: set[str] = set()
 _STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def set_shared_dir(spark: SparkSession) -> str | None:
     """The folder that the cluster names in spark.checkpoint.dir, if it does."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else None
+    return named.rstrip("/") if named and named.rstrip("/") not in _MADE else None
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one is made only where it is unset and all runs on one machine."""
-    set_dir = set_shared_dir(spark) or spark.sparkContext.getCheckpointDir()
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(set_dir)
+        _MADE.update((set_dir, "file://" + set_dir, "file:" + set_dir))
         set_dir = "file://" + set_dir
     return set_dir.rstrip("/")
 
@@ -44,6 +47,12 @@ def materialize(df: DataFrame, name: str, *by: str, schema: StructType | None =
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its input has fewer; else as it is, and nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*tables: DataFrame, part: str = "") -> None:
     """Delete tables that materialize wrote, or the folder part of them, and let Spark's cleaner delete the shuffle files of what is over."""
     for df in tables:
