@@ -2,7 +2,7 @@
 
 
 def all_queries() -> dict:
-    from tessera.plans import catalog, models, reviews  # noqa: F401  the others add their own to the catalog
+    from tessera.plans import catalog, contracts, models, reviews  # noqa: F401  the others add their own to the catalog
 
     return catalog.QUERIES
 

@@ -470,13 +470,6 @@ def top_coefficients(spark, sf_dir):
     return rounded(top.select("class", "rank", "idx", "coefficient", F.concat(F.lit("dim__"), T.mask_feature(F.concat(F.lit("dim__d"), F.col("idx").cast("string")))).alias("masked_feature")))
 
 
-@query("SELECT * FROM (VALUES ('2024-01-01T00:00:00+00:00', 'first_access', false), ('2024-01-02T00:00:00+00:00', 'reproduction', false)) t(evaluated_at_utc, kind, selection_used_final_test)")
-def access_history_append(spark, sf_dir):
-    empty = spark.createDataFrame([], "evaluated_at_utc string, kind string, selection_used_final_test boolean")
-    once = review.append_access(empty, F.lit("2024-01-01T00:00:00+00:00"))
-    return review.append_access(once, F.lit("2024-01-02T00:00:00+00:00"))
-
-
 # --- prediction --------------------------------------------------------------------------------
 
 _C = "('0x'||md5(conv_id||':'||turn)[1:8])::bigint % 10001 / 10000.0::double"
