@@ -55,23 +55,37 @@ def test_streamed_answers_equal_batch(spark):
 
 
 @pytest.mark.parametrize("name", ["lr_cv", "svm_cv", "nb_cv", "embedding_cv"])
-def test_models_are_validated_on_all_development_rows(spark, monkeypatch, name):
+def test_models_are_validated_on_all_development_rows(spark, name):
+    from tessera.operators import folds
+    from tessera.plans.catalog import rows
+    from tessera.plans.models import SETTINGS, Fits
     from pyspark.sql import functions as F
-    from tessera.operators import features, folds, models
-    from tessera.functions import text as T
 
-    seen = {}
+    told = {r["part"]: r["rows"] for r in all_queries()[name](spark, DIR).collect()}
+    if name == "embedding_cv":
+        df = spark.read.parquet(f"{DIR}/embeddings.parquet").withColumn("fold", folds.group_fold(F.col("vec_id")))
+    else:
+        df = rows(spark, DIR)
+    sizes = {str(r["fold"]): r["count"] for r in df.where("fold <> 0").groupBy("fold").count().collect()}
+    assert sorted(sizes) == ["1", "2", "3", "4"]
+    assert told == sizes | dict.fromkeys(("pooled", "mean", "deviation"), sum(sizes.values()))
+    if name != "embedding_cv":
+        fits = Fits(spark, DIR)
+        assert SETTINGS["cap"] == 60_000 and set(fits.features.blocks) == {"word", "character"}
 
-    def split(df, fold, fold_col="fold"):
-        valid = df.where(F.col(fold_col) == fold)
-        seen[fold] = df.first()["features"].size
-        return valid, valid
 
-    monkeypatch.setattr(models, "split", split)
-    monkeypatch.setattr(models, "fit_predict", lambda train, valid, model_id: valid.select("doc", "label", F.col("label").alias("prediction"), F.lit(1.0).alias("confidence")))
-    all_queries()[name](spark, DIR).collect()
-    assert sorted(seen) == [1, 2, 3, 4]
-    if name != "embedding_cv":
-        d = spark.read.parquet(f"{DIR}/documents.parquet")
-        names = features.TallTfidf("word", T.profile_p1, 60_000, 60_000).fit(d.where(folds.group_fold(F.col("doc_id")) != 0), "doc_id", "text").names().count()
-        assert set(seen.values()) == {names}
+def test_a_part_of_the_store_is_made_once_and_again_after_a_break(spark, tmp_path):
+    from tessera.operators.store import Store
+
+    store, made = Store(spark, "x"), []
+    store.root = str(tmp_path)
+    make = lambda: made.append(1) or {"n": len(made)}
+    assert store.once("part", {"a": (1, 2)}, make)["made"] == store.once("part", {"a": (1, 2)}, make)["made"] == {"n": 1}
+    assert store.once("part", {"a": (1, 3)}, make)["made"] == {"n": 2}
+
+    def breaks():
+        raise RuntimeError("gone")
+
+    with pytest.raises(RuntimeError):
+        store.once("part", {"a": 4}, breaks)
+    assert store.manifest("part") is None
