@@ -136,10 +136,10 @@ def recurring_lines(docs: DataFrame, key: str = "key", text: str = "text", order
     return found.join(firsts, ["leaf", "template"]).select("key", "line_no", "template", ((F.col("key") == F.col("first_key")) & (F.col("line_no") == F.col("first_line"))).alias("first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_dropped", **params) -> DataFrame:
     """docs with recurring lines cut out of the text, and n_dropped, the number of them.
 
-    All columns of docs stay, in their order; a column n_dropped of its own is
+    All columns of docs stay, in their order; a column of the name count_col, in any case, is
     replaced.  Lines are cut at \\n, and only whole ones go; blank lines and those of fewer
     than least_tokens tokens stay.  The first line of a template, or of equal long lines,
     by document id (a null id last), then by line, stays.  Copies of one text, whatever
@@ -150,12 +150,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, gone, gone_key = unused(docs, "_key", "_gone", "_gone_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
     plain = keyed.where(F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    cuts = recurring_lines(plain, **params).where("NOT first").groupBy("key").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("key", gone_key)
+    cuts = recurring_lines(plain, **params).where("NOT first").groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias(gone)).withColumnRenamed("key", gone_key)
     joined = keyed.join(cuts, (keyed[key] == cuts[gone_key]) & keyed[text_col].isNotNull(), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    # a mark a line up to the last that goes, so each line is looked at once
+    before = lambda k: F.coalesce(F.get(F.col(gone), k - 1), F.lit(-1))
+    marks = F.flatten(F.transform(gone, lambda n, k: F.concat(F.array_repeat(F.lit(False), n - before(k) - 1), F.array(F.lit(True)))))
+    kept = F.zip_with(F.split(F.col(text_col), "\n", -1), marks, lambda line, goes: F.when(~F.coalesce(goes, F.lit(False)), line))
+    left = F.array_join(F.filter(kept, lambda line: line.isNotNull()), "\n")
     cut = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
     dropped = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
-    return joined.select(*[(cut if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != "n_dropped"], dropped.alias("n_dropped"))
+    return joined.select(*[(cut if c == text_col else F.col(c)).alias(c) for c in docs.columns if c.lower() != count_col.lower()], dropped.alias(count_col))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

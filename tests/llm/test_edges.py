@@ -90,3 +90,19 @@ def test_pipeline_follows_its_stages(spark, odd):
     for r in docs.collect():
         same[r["text"]] = min(same.get(r["text"], 1 << 60), 1 << 60 if r["doc_id"] is None else r["doc_id"])
     assert {r["text"]: 1 << 60 if r["doc_id"] is None else r["doc_id"] for r in first.collect()} == same
+
+
+def test_lines_with_a_count_of_their_own_in_other_case(spark, odd):
+    docs = odd.withColumn("N_Dropped", F.lit("own"))
+    got = corpus_pipeline.line_dedup(spark, docs, DIR)
+    assert got.columns == docs.columns and {r["N_Dropped"] for r in got.collect()} == {"own"}
+    assert line_dedup.dedup_lines(docs).columns == [*odd.columns, "n_dropped"]
+
+
+def test_very_many_lines_of_one_text_go(spark):
+    many = [f"this line recurs in every text as number {k} of them" for k in range(100_000)]
+    own = [" ".join(["abcdef"[i] * 6] * (4 + i)) for i in range(6)]  # of another length each, so of no common template
+    rows = [(i, "\n".join([own[i], *many, "", own[i] + " end"])) for i in range(6)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    for i in range(1, 6):
+        assert got[i]["text"] == f"{own[i]}\n\n{own[i]} end" and got[i]["n_dropped"] == 100_000
