@@ -16,7 +16,7 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.ngram_join import drop_near_duplicates
 from tessera.llm.packing import pack_best_fit
 from tessera.llm.quality_rules import drop_low_quality
-from tessera.llm.shared import materialize, table
+from tessera.llm.shared import materialize, table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; one whose every line stands in an earlier one goes."""
-    left = dedup_lines(docs).where("n_dropped = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop("n_dropped")
+    count = unused(docs, "n_dropped")[0]
+    left = dedup_lines(docs, count_col=count).where(f"{count} = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").drop(count)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
