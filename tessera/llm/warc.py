@@ -3,13 +3,15 @@
 Every record is a gzip member of its own.  A reading task owns the records that
 start inside its range: it looks for gzip magic from the range's first byte,
 takes a candidate for a record only if it inflates to a WARC header, and reads
-the last one over the range's end.
+the last one over the range's end.  Archives of other writers are read as well: header
+names in any case, records of every type, digests in base 32 or in hex.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -28,7 +30,9 @@ CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "X-Page-Id"
 _REFERS = "X-Refers-To-Page-Id"
-_OUT = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_SHA1 = re.compile(r"sha-?1:([0-9a-f]{40}|[a-z2-7]{32})\s*", re.IGNORECASE)
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("digest_agrees", pa.bool_())])
+_OUT = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string, refers_to_record string, digest_agrees boolean"
 
 
 def _open(uri: str, write: bool = False):
@@ -98,7 +102,7 @@ class _Window:
     """Bytes of a file from a moving position: data[pos:] are those from at on."""
 
     def __init__(self, file, start: int):
-        self.file, self.base, self.pos, self.data, self.size = file, start, 0, b"", file.size()
+        self.file, self.base, self.pos, self.data, self.size = file, start, 0, bytearray(), file.size()
 
     @property
     def at(self) -> int:
@@ -113,27 +117,29 @@ class _Window:
     def skip_to(self, pos: int) -> None:
         self.pos = pos
         if pos >= CHUNK:
-            self.data, self.base, self.pos = self.data[pos:], self.base + pos, 0
+            del self.data[:pos]
+            self.base, self.pos = self.base + pos, 0
 
 
 def _member(window: _Window, offset: int) -> tuple[bytes, int] | None:
     """The record of the gzip member that starts at offset of the window, and its compressed bytes; None if it is none."""
-    z, out, at = zlib.decompressobj(31), [], offset
-    seen = 0
+    z, out, at, known = zlib.decompressobj(31), [], offset, False
     try:
         while not z.eof:
             if at >= len(window.data) and not window.fill():
                 return None
-            taken = window.data[at : at + (CHUNK if seen >= 7 else 512)]
-            piece = z.decompress(taken)
+            taken = window.data[at : at + (CHUNK if known else 512)]
+            out.append(z.decompress(taken))
             at += len(taken)
-            out.append(piece)
-            seen += len(piece)
-            if seen >= 7 and not b"".join(out[:8])[:7] == b"WARC/1.":
-                return None
+            if not known:
+                out = [b"".join(out)]
+                if len(out[0]) >= 7:
+                    known = out[0].startswith(b"WARC/1.")
+                    if not known:
+                        return None
     except zlib.error:
         return None
-    return (b"".join(out), at - len(z.unused_data) - offset) if seen >= 7 else None
+    return (b"".join(out), at - len(z.unused_data) - offset) if known else None
 
 
 def read_range(uri: str, start: int, end: int) -> Iterator[bytes]:
@@ -155,43 +161,84 @@ def read_range(uri: str, start: int, end: int) -> Iterator[bytes]:
             window.skip_to(found + (got[1] if got else 1))
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines after the first, names in lower case; of repeated names the first holds."""
+    out: dict[str, str] = {}
+    for line in head.decode(errors="replace").splitlines()[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+def _sha1(text: str | None) -> str | None:
+    """The hex digits of a SHA-1 digest in base 32 or hex; None for what is none."""
+    found = _SHA1.fullmatch(text or "")
+    if not found:
+        return None
+    told = found[1]
+    return told.lower() if len(told) == 40 else base64.b32decode(told.upper()).hex()
+
+
 def parse_record(record: bytes) -> dict:
-    """Fields of a record.  The digest of a response is that of its payload as read; it must agree with the header."""
+    """Fields of a record of any type.
+
+    Of a response, request or revisit over HTTP the payload is what follows the HTTP head, of other records the whole block.  A revisit's
+    payload is null, its size and digest are what its headers tell, null where they tell none; other records have those
+    of the payload as read, and digest_agrees says whether the header's SHA-1 is the same (null without one).
+    A record without a length ends before its last empty lines.
+    """
     head, _, block = record.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
-    block = block[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    told = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    kind = fields["WARC-Type"]
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != told:
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-    size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")).split(b": ")[1])
-    number = lambda k: int(fields[k]) if k in fields else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": number(_PAGE), "url": url, "record_type": kind, "payload_bytes": size, "payload_digest": told, "refers_to": number(_REFERS), "payload": payload if kind == "response" else None}
-
-
-def _read(batches):
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    for batch in batches:
-        for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows, held = [], 0
-            for record in read_range(uri, start, end):
-                rows.append(parse_record(record))
-                held += len(record)
-                if held > 4 * CHUNK:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema).select(names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema).select(names)
-
-
-def read_warc(manifest: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """A row for each record of the archives (path, bytes): page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for a revisit)."""
+    fields = _fields(head)
+    size = _number(fields.get("content-length"))
+    block = block.removesuffix(b"\r\n\r\n") if size is None else block[:size]
+    kind, told = fields.get("warc-type", "").lower(), _sha1(fields.get("warc-payload-digest"))
+    http, payload = b"", block
+    if fields.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    out = {"page_id": _number(fields.get(_PAGE.lower())), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _number(fields.get(_REFERS.lower())), "record_id": fields.get("warc-record-id"), "refers_to_record": fields.get("warc-refers-to")}
+    if kind == "revisit":
+        return out | {"payload_bytes": _number(_fields(http).get("content-length")), "payload_digest": told, "payload": None, "digest_agrees": None}
+    digest = hashlib.sha1(payload).hexdigest()
+    return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload, "digest_agrees": None if told is None else told == digest}
+
+
+def _read(types: tuple[str, ...] | None, verify: bool):
+    def run(batches):
+        for batch in batches:
+            for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, held = [], 0
+                for record in read_range(uri, start, end):
+                    row = parse_record(record)
+                    if types is not None and row["record_type"] not in types:
+                        continue
+                    if verify and row["digest_agrees"] is False:
+                        raise ValueError(f"payload of {row['record_id']} does not have its digest")
+                    rows.append(row)
+                    held += len(record)
+                    if held > 4 * CHUNK:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+    return run
+
+
+def read_warc(manifest: DataFrame, split_bytes: int = 4 << 20, types: tuple[str, ...] | None = ("response", "revisit"), verify: bool = True) -> DataFrame:
+    """A row for each record of the archives (path, bytes) that is of the types given, None for all; a gzip member holds one record.
+
+    page_id, url, record_type, payload_bytes, payload_digest, refers_to (it and page_id are null where another writer made the record),
+    payload (null for a revisit), record_id, refers_to_record, digest_agrees.  verify: a payload that has not the SHA-1 of its
+    record's header is an error; else the row tells.  A member that is broken or no WARC record is passed over.
+    """
     splits = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.withColumn("end", F.col("start") + split_bytes)
-    return splits.repartition(max(1, splits.count())).mapInArrow(_read, _OUT)
+    return splits.repartition(max(1, splits.count())).mapInArrow(_read(types, verify), _OUT)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
