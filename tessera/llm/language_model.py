@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -138,19 +139,31 @@ def unpack_weights(flat: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _causal(far: np.ndarray, queries: int, keys: int) -> np.ndarray:
-    """Bias by distance of query i (the last ones) and key j; minus infinity ahead."""
+@functools.lru_cache(8)
+def _gaps(queries: int, keys: int, most: int) -> np.ndarray:
+    """The distance of query i (the last ones) and key j, at most most; most + 1 ahead."""
     gap = (np.arange(queries)[:, None] + keys - queries) - np.arange(keys)
-    return np.where(gap >= 0, far[np.clip(gap, 0, len(far) - 1)], -np.inf).astype(far.dtype)
+    return np.where(gap >= 0, np.minimum(gap, most), most + 1)
+
+
+def _causal(far: np.ndarray, queries: int, keys: int) -> np.ndarray:
+    """Bias by distance of query and key; minus infinity ahead."""
+    return np.append(far, far.dtype.type(-np.inf))[_gaps(queries, keys, len(far) - 1)]
+
+
+def _bound(x: np.ndarray) -> np.ndarray:
+    """x with a bound for large values, in place; to look for them is cheaper than to write."""
+    if x.size and not x.max() <= 60:
+        np.minimum(x, 60, out=x)
+    return x
 
 
 def _exp_sum(x: np.ndarray) -> np.ndarray:
-    """x becomes its exponential, with a bound for large values; the sum over the last axis.
+    """x becomes its exponential, bounded; the sum over the last axis.
 
     A product with ones is several times faster than a sum over a short axis.
     """
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
+    np.exp(_bound(x), out=x)
     return x @ np.ones((x.shape[-1], 1), x.dtype)
 
 
@@ -198,10 +211,7 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarra
     if prior is not None:
         g[:size] += np.take(prior.row, flat_x, 0)
         g[size:] += np.take(prior.col, flat_x * side + row, 0)
-    wanted, both, cells = begin.copy(), np.concatenate((share, share)), g.reshape(-1)
-    wanted[:size] += row
-    wanted[size:] += flat_y
-    wanted[size:] -= row * side
+    wanted, both, cells = begin + np.concatenate((row, flat_y - row * side)), np.concatenate((share, share)), g.reshape(-1)
     total = _exp_sum(g)
     loss = float((np.log(total[:, 0] / cells[wanted]) * both).sum()) if told else 0.0
     g *= both[:, None] / total
@@ -222,33 +232,37 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray, valid: np.ndarra
     gs = go @ v.transpose(0, 2, 1)
     gs -= ((go * o).reshape(size, d) @ np.ones((d, 1), kind)).reshape(n, length, 1)
     gs *= att
-    gap = np.arange(length)[:, None] - np.arange(length)
-    out["far"] = np.bincount(np.minimum(gap[gap >= 0], len(w["far"]) - 1), gs.sum(0)[gap >= 0], minlength=len(w["far"])).astype(kind)
+    far = len(w["far"])
+    out["far"] = np.bincount(_gaps(length, length, far - 1).ravel(), gs.sum(0).ravel(), minlength=far)[:far].astype(kind)
     ge = ge.reshape(size, d)
-    for name, grad, factor in (("q", gs @ k, scale), ("k", gs.transpose(0, 2, 1) @ q, kind.type(1)), ("v", gv, kind.type(1))):
-        grad = grad.reshape(size, d)
-        out[name] = e.T @ grad * factor
-        ge += grad @ (w[name].T * factor)
+    grads = np.empty((n, length, 3 * d), kind)
+    np.matmul(gs, k * scale, out=grads[:, :, :d])
+    np.matmul(gs.transpose(0, 2, 1), q, out=grads[:, :, d : 2 * d])
+    grads[:, :, 2 * d :] = gv
+    grads = grads.reshape(size, 3 * d)
+    ge += grads @ np.concatenate((w["q"], w["k"], w["v"]), 1).T
+    out |= zip("qkv", np.split(e.T @ grads, 3, 1))
     out["e"] = _sum_by(flat_x, ge, np.zeros_like(w["e"]))
     return loss, out
 
 
 class Adam:
     def __init__(self, w: Weights, rate: float):
-        self.w, self.rate, self.t = {k: v.copy() for k, v in w.items()}, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.flat, self.rate, self.t = pack_weights(w), rate, 0
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        ends = np.cumsum([w[k].size for k in sorted(w)])[:-1]
+        self.w = {k: x.reshape(w[k].shape) for k, x in zip(sorted(w), np.split(self.flat, ends), strict=True)}  # views
 
     def step(self, g: Weights) -> None:
         self.t += 1
         rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
-        for k, x in g.items():
-            m, v = self.m[k], self.v[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * x
-            x *= x
-            v *= np.float32(0.99)
-            v += np.float32(0.01) * x
-            self.w[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+        x = pack_weights(g)
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * x
+        x *= x
+        self.v *= np.float32(0.99)
+        self.v += np.float32(0.01) * x
+        self.flat -= rate * self.m / (np.sqrt(self.v) + np.float32(1e-8))
 
 
 class Scorer:
@@ -315,9 +329,9 @@ class Scorer:
     def _log(logit: np.ndarray, prior: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Logarithm of the softmax at a position of each row; logit is used up."""
         logit += prior
-        np.minimum(logit, 60, out=logit)
-        wanted = logit[np.arange(len(logit)), at]
-        return wanted - np.log(_exp_sum(logit)[:, 0])
+        wanted = np.take(_bound(logit).reshape(-1), _row_begins(*logit.shape) + at)
+        np.exp(logit, out=logit)
+        return wanted - np.log(logit @ np.ones((logit.shape[1], 1), logit.dtype))[:, 0]
 
 
 #: The hash that stands for a text's end among words.
@@ -347,6 +361,15 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return out.view("<u4")[:, 0]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct numbers and each one's place among them; most repeat, so they are hashed before the few are sorted."""
+    at, found = pd.factorize(x)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[at]
+
+
 def _gather(path: str | None, s: Shape, parts: int = 1):
     """The rows of one bucket: a table of text, held_out and bucket."""
 
@@ -372,7 +395,7 @@ def _gather(path: str | None, s: Shape, parts: int = 1):
             lines += [data[a:z] for a, z in zip(edge[:-1], edge[1:], strict=True)]
         total[s.end] += int((~held).sum())
         number = np.concatenate((*number, np.zeros(0, np.int64)))
-        words, at = np.unique(np.concatenate((*codes, np.zeros(0, np.int64))), return_inverse=True)
+        words, at = _distinct(np.concatenate((*codes, np.zeros(0, np.int64))))
         n = np.bincount(at, np.repeat(~held, number), minlength=len(words)).astype("<u4")
         cut = np.concatenate(([0], np.searchsorted(words, np.array([k * (1 << 63) // parts for k in range(1, parts)], np.int64)), [len(words)]))
         full = np.flatnonzero(np.diff(cut))
@@ -426,7 +449,7 @@ def _totals(group: pa.Table) -> pa.Table:
     size = [x.size // 12 for x in data]
     words = np.concatenate([np.frombuffer(x, "<i8", k) for x, k in zip(data, size, strict=True)])
     counts = np.concatenate([np.frombuffer(x, "<u4", k, 8 * k) for x, k in zip(data, size, strict=True)])
-    words, at = np.unique(words, return_inverse=True)
+    words, at = _distinct(words)
     total = np.bincount(at, counts, minlength=len(words)).astype(np.int64)
     out = total[at].astype("<u4" if total.max() < 1 << 32 else "<u8")
     edge = np.concatenate(([0], np.cumsum(size))).tolist()
