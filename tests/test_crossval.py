@@ -228,3 +228,23 @@ def test_requests_fail_closed(spark, tmp_path):
     run = serving.parse_requests(stream, "body").writeStream.format("memory").queryName("parsed").trigger(availableNow=True).start()
     run.awaitTermination()
     assert [r["reason"] for r in spark.table("parsed").orderBy("id").collect()] == want
+
+
+def test_a_pass_sends_one_gradient_a_core(spark, texts, monkeypatch):
+    df = texts.repartition(40)
+    made, rows = crossval.fit_features(df, "id", "text", "number", "fold", lambda c: F.coalesce(F.lower(c), F.lit("")))
+    monkeypatch.setattr(crossval, "ENTRIES", 64)
+    data = crossval.Problems(rows.repartition(40), 3, (1, 2, 3, 4), made.idf.shape[1], made.idf, tuple(made.starts))
+    assert data.blocks().columns == ["fold", "label", "idx", "val", "order", "sizes", "scale"]
+    spec = data.problem_spec([0, 1, 2, 3], np.ones((4, 3)))
+    rng = np.random.default_rng(5)
+    w, b = rng.normal(size=(12, spec.features)), rng.normal(size=12)
+    loss, gb, gw = data.sums("logistic", spec, (w, b))
+    step = 1e-5 * rng.normal(size=w.shape)
+    moved = data.sums("logistic", spec, (w + step, b))[0]
+    for p in range(4):
+        own = slice(3 * p, 3 * p + 3)
+        assert abs(moved[3 * p] - loss[3 * p] - (gw[own] * step[own]).sum()) < 1e-3 * abs(moved[3 * p] - loss[3 * p]) + 1e-7
+    sent = data.spark.sparkContext.defaultParallelism
+    assert data.blocks().coalesce(sent).rdd.getNumPartitions() <= sent
+    data.close()
