@@ -20,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.set_join import tree_sum
+
 from .shared import PLAIN, hash_words, materialize, small_batches, table, text_slices, unused
 
-FAN_IN = 32
 _BLOCKS = 16
 
 
@@ -160,22 +161,6 @@ def _sketch(s: Settings, idf: np.ndarray, omega: np.ndarray):
     return run
 
 
-def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), "<f8") for x in group.column("sums").combine_chunks())
-    return pa.table({"task": pa.array([group.column("task")[0].as_py() // FAN_IN], pa.int32()), "block": pa.array([group.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
-def tree_sum(parts: DataFrame) -> list[np.ndarray]:
-    """The sum of each block's rows, FAN_IN at a time: no task holds more rows of a block than that."""
-    schema = "task int, block int, sums binary"
-    parts = materialize(parts, "sums")
-    while True:
-        most = parts.agg(F.max("task")).first()[0] or 0
-        parts = materialize(parts.groupBy("block", F.floor(F.col("task") / FAN_IN).alias("upper")).applyInArrow(_add, schema), "sums")
-        if most < FAN_IN:
-            return [np.frombuffer(r["sums"], "<f8") for r in parts.orderBy("block").collect()]  # one row a block
-
-
 class Space(NamedTuple):
     weights: np.ndarray  # terms x rank, float32: idf, singular vectors, scaled to unit singular values
     rare: np.ndarray  # those of the benchmark's words that are rare, sorted

@@ -16,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.set_join import mix, small_batches
 from tessera.operators.tables import discard, materialize, new_path, shared_dir
 
-__all__ = ["discard", "materialize", "new_path", "shared_dir"]
+__all__ = ["discard", "materialize", "mix", "new_path", "shared_dir", "small_batches"]
 
 #: Bytes of text that are hashed at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -34,12 +35,6 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most 1000 rows and 8 MB at once, so that a worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has already, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -52,13 +47,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < n:
