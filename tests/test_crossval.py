@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,26 @@ def test_a_pass_sends_one_gradient_a_core(spark, texts, monkeypatch):
     sent = data.spark.sparkContext.defaultParallelism
     assert data.blocks().coalesce(sent).rdd.getNumPartitions() <= sent
     data.close()
+
+
+@pytest.mark.parametrize("shares", [(0.9, 0.5, 0.3, 0.02, 0.01), (0.001,) * 5, (1.0,) * 5])
+def test_a_block_multiplies_as_the_plain_matrix(shares):
+    """Common features as a matrix, rare ones in layers: both products are those of the rows; a row without entries too."""
+    rng = np.random.default_rng(4)
+    n, each, starts, folds_ = 300, 40, (0, 90), (1, 2)
+    x = np.concatenate([rng.random((n, each)) * (rng.random((n, each)) < share) for share in shares], 1)
+    x[17] = 0
+    spec = crossval.Spec(folds_, 3, x.shape[1], starts, (0, 1), np.ones((2, 3)))
+    scale = rng.random((n, len(folds_), len(starts)))
+    place = [np.flatnonzero(r) for r in x]
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 3, n), pa.int32()), pa.array(rng.integers(-1, 3, n), pa.int32()), pa.array(place, pa.list_(pa.int32())), pa.array([r[p] for r, p in zip(x, place)], pa.list_(pa.float64())), pa.array(list(scale.reshape(n, -1)))], ["fold", "label", "idx", "val", "scale"])
+    (told,) = [b for t in crossval._blocks(spec)([batch]) for b in t.to_pylist()]
+    block, w, r = crossval._Block(told, spec), rng.normal(size=(x.shape[1], 6)), rng.normal(size=(n, 6))
+    times, total = np.zeros((n, 6)), np.zeros_like(w)
+    for c in range(6):
+        scaled = x * np.repeat(scale[:, c // 3], [90, x.shape[1] - 90], 1)
+        times[:, c], total[:, c] = scaled @ w[:, c] + c, scaled.T @ r[:, c]
+    got = np.zeros_like(w)
+    block.add(r, got)
+    assert np.abs(block.times(w, np.arange(6.0)) - times).max() < 1e-9 and np.abs(got - total).max() < 1e-9
+    assert len(block.layers) <= crossval.COMMON * n and len(block.common) == sum((x[:, k] != 0).sum() >= max(crossval.COMMON * n, 2) for k in range(x.shape[1]))
