@@ -69,12 +69,12 @@ def cross_validate(df: DataFrame, model_id: str, folds=(1, 2, 3, 4), fold_col: s
     return out
 
 
-def nb_fit(counts: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(terms, priors) of multinomial naive Bayes from counts (doc, term, tf) and labels (doc, label).
+def nb_fit(sums: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(terms, priors) of multinomial naive Bayes from sums (label, term, n) and labels (doc, label).
 
     terms: (label, term, log_p) of seen pairs; priors: (label, log_prior, log_unseen).
     """
-    seen = materialize(counts.join(labels, "doc").groupBy("label", "term").agg(F.sum("tf").alias("n")), "seen")
+    seen = materialize(sums, "seen")
     width = seen.select("term").distinct().count()
     totals = seen.groupBy("label").agg(F.sum("n").alias("total"))
     docs = labels.groupBy("label").agg(F.count("*").alias("docs"))

@@ -46,3 +46,16 @@ def test_no_row_of_a_document_is_shuffled(spark, texts, block):
     assert "Window" not in plan and "hashpartitioning" not in plan
     sums = features.term_sums(df, "id", F.lower("text"), block)._jdf.queryExecution().executedPlan().toString()
     assert sums.count("hashpartitioning") == 1 and "hashpartitioning(term" in sums
+
+
+def test_counts_inside_rows_are_those_of_the_tall_table(spark, texts):
+    df = spark.createDataFrame([(k, t, "ab"[n % 2] if n % 7 else None) for n, (k, t) in enumerate(texts)], "id long, text string, label string").repartition(3)
+    words = features.tokens(F.lower("text"))
+    tall = features.term_counts(df, "id", words)
+    assert sorted(map(str, features.document_counts(df, "id", words).collect())) == sorted(map(str, tall.collect()))
+    want = tall.join(df.select(F.col("id").alias("doc"), "label"), "doc").groupBy("label", "term").agg(F.sum("tf").alias("n"))
+    assert sorted(map(str, features.label_sums(df, "id", "label", words).collect())) == sorted(map(str, want.collect()))
+    once = df.where("id > 3")
+    assert "hashpartitioning" not in features.document_counts(once, "id", words)._jdf.queryExecution().executedPlan().toString()
+    sums = features.label_sums(once, "id", "label", words)._jdf.queryExecution().executedPlan().toString()
+    assert sums.count("hashpartitioning") == 1 and "hashpartitioning(label" in sums
