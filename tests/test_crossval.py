@@ -312,3 +312,32 @@ def test_random_folds_rank_no_texts(spark, monkeypatch):
         dealt = Counter(r["random_fold"] for r in got if r["label"] == label and r["fold"])
         assert set(dealt) == {1, 2, 3, 4} and max(dealt.values()) - min(dealt.values()) <= 1
     assert all((r["random_fold"] == 0) == (r["fold"] == 0) for r in got)
+
+
+def test_texts_are_cut_once(spark, texts):
+    seen = spark.sparkContext.accumulator(0)
+
+    def lowered(t):
+        seen.add(1)
+        return (t or "").lower()
+
+    crossval.fit_features(texts, "id", "text", "number", "fold", F.udf(lowered).asNondeterministic())
+    assert seen.value == texts.count()
+
+
+def test_the_most_frequent_terms_of_each_fold(spark):
+    rng = random.Random(9)
+    rows = [(b, f"t{k:03}", f, rng.choice((2, 3, 3, 3, 7, k))) for b in ("word", "character") for f in (1, 2) for k in range(rng.randrange(90, 120))]
+    for cap in (1, 40, 500):
+        got = crossval._most_frequent(spark.createDataFrame(rows, "block string, term string, fold int, total long"), cap).collect()
+        want = [r for b in ("word", "character") for f in (1, 2) for r in sorted((r for r in rows if r[0] == b and r[2] == f), key=lambda r: (-r[3], r[1]))[:cap]]
+        assert sorted((r["block"], r["term"], r["fold"], r["total"]) for r in got) == sorted(want)
+
+
+def test_logistic_regression_takes_few_passes_for_its_biases(problems, monkeypatch):
+    _, data = problems
+    few = crossval.fit_logistic(data, 1.0, balanced=True)
+    monkeypatch.setattr(crossval, "BIAS", 1.0)
+    many = crossval.fit_logistic(data, 1.0, balanced=True)
+    assert few.passes < many.passes
+    np.testing.assert_allclose(few.loss, many.loss, rtol=1e-3)
