@@ -341,3 +341,18 @@ def test_logistic_regression_takes_few_passes_for_its_biases(problems, monkeypat
     many = crossval.fit_logistic(data, 1.0, balanced=True)
     assert few.passes < many.passes
     np.testing.assert_allclose(few.loss, many.loss, rtol=1e-3)
+
+
+def test_rows_are_scaled_in_the_task_that_reads_them(problems):
+    """Packed rows and predictions: one step in Python each, and a row is scored by its own fold's model alone."""
+    _, data = problems
+    fitted = crossval.fit_naive_bayes(data)
+    for made in (data.blocks(), crossval.predict(data, fitted)):
+        assert made._jdf.queryExecution().logical().toString().count("MapInArrow") == 1
+    rng = np.random.default_rng(8)
+    spec = data.problem_spec([0, 1, 2, 3, 4], np.ones((5, 3)))
+    w, b = rng.normal(size=(15, spec.features)), rng.normal(size=15)
+    batch = data.scaled.toArrow().combine_chunks().to_batches()[0]
+    rows = crossval._Rows(batch, spec)
+    which = rng.integers(0, 5, rows.n)
+    np.testing.assert_allclose(rows.own(which, w, b), rows.times(w, b).reshape(rows.n, 5, 3)[np.arange(rows.n), which])
