@@ -34,3 +34,10 @@ def test_packed_rows_are_read_in_small_batches(spark, monkeypatch):
     assert sizes == [700, 700, 700, 700, 200]  # blocks are as large as they may be, whatever the batches
     assert np.isclose(crossval.fit_naive_bayes(data).weights.sum(1), -8 * np.log(8)).all()
     data.close()
+
+
+def test_packed_rows_are_read_few_at_once(spark):
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+    data = crossval.Problems(crossval.dense_rows(_many(spark).select("id", F.array(F.lit(0.5)).alias("v"), (F.col("id") % 2).alias("number"), (F.col("id") % 5).cast("int").alias("fold")), "id", "v", "number", "fold", 1), 2, (1, 2), 1)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    data.close()
